@@ -282,3 +282,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, collecti
     out = features.join(labels, ["p0", "p1", "n_shingles"])
     out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def drop_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without those whose component has an earlier one.
+    Of repeated rows of one id one stays; rows without id all stay."""
+    found = near_duplicates(docs, **options)
+    copies = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_copy")).distinct()
+    left = docs.join(copies.hint("shuffle_hash"), F.col("doc_id") == F.col("_copy"), "left_anti")
+    ids = docs.where("doc_id is not null").agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d")).first()
+    if ids.n == ids.d:
+        return left
+    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(left.where("doc_id is null"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, html, mixing, sharding, warc
+from weftline.llm import bpe, html, mixing, quality, sharding, toxicity, warc
 from weftline.llm._shared import modest_batches, table
 from weftline.llm.embdedup import duplicates
 from weftline.llm.minhash import near_duplicates
@@ -101,6 +101,11 @@ FROM embeddings LEFT JOIN least_root ON least_root.x = vec_id LEFT JOIN links ON
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
+    return quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.assign(table(spark, sf_dir, "documents"))
     rows = plan.select(
@@ -162,6 +167,14 @@ SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -187,9 +200,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_topk": op1_topk,
         "op2_minhash": op2_minhash,
         "op3_embeddings": op3_embeddings,
+        "op4_quality": op4_quality,
         "op5_mixing": op5_mixing,
         "op6_bpe": op6_bpe,
         "op7_html": op7_html,
+        "op8_toxicity": op8_toxicity,
         "op9_sharding": op9_sharding,
         "op10_warc": op10_warc,
     }
