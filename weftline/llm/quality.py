@@ -8,12 +8,13 @@ importance weight is the sum of its n-grams' log ratios.  Adding Gumbel noise,
 hashed from the id, and keeping the k largest draws k documents in proportion to
 their weights without replacement.
 
-The raw model counts every document.  The target model uses a bounded sample of
-labelled rows (``SAMPLE`` by class, chosen by hash).  k is the number of documents
-whose noisy weight reaches the level that separates the sample's classes best,
-so that the share that is kept follows the data.
+The raw model counts every document.  The target model uses one half of a bounded
+sample of labelled rows (``SAMPLE`` by class, chosen by hash), smoothed towards
+the raw model.  k is the number of documents whose noisy weight reaches the level
+that separates the classes of the other half best, so that the share that is
+kept follows the data, and rows that the model has seen don't set the level.
 
-Cases: a null or empty text has no n-grams and weight 0; a null id has the noise
+Cases: a null or empty text has no n-grams and weight 0 and is kept; a null id has the noise
 of the empty string; repeated rows get equal keys; without labels of both
 classes, and for an empty table, nothing is rejected; other columns pass through
 ``resample`` unchanged.
@@ -35,11 +36,14 @@ SAMPLE = 4000
 WORD_BITS, SHAPE_BITS = 14, 12
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << WORD_BITS, 1 << SHAPE_BITS
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
-#: Added to each bucket's count before the probabilities are taken.
+#: Observations of the raw model, by bucket, that the target model starts with.
 SMOOTHING = 1.0
 SEED = 7
 #: Room for good rows that weigh a little less than any in the sample.
-MARGIN = 4.0
+MARGIN = 8.0
+#: The level is no higher: a weight of 0, as short texts have, says nothing
+#: against a document, and the noise is hardly ever below this.
+CEILING = -3.0
 
 _TOKENS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 
@@ -97,14 +101,14 @@ def _counts(docs: DataFrame, sample: DataFrame) -> np.ndarray:
         tokens, total = _Tokens(), np.zeros((2, BUCKETS), dtype=np.int64)
         for batch in batches:
             own = [grams(text.as_py() or b"", tokens) for text in batch.column(0)]
-            good = [g for g, y in zip(own, batch.column(1).to_pylist(), strict=True) if y == 1]
+            good = [g for g, y in zip(own, batch.column(1).to_pylist(), strict=True) if y]
             for row, part in enumerate((own, good)):
                 if part:
                     total[row] += np.bincount(np.concatenate(part), minlength=BUCKETS)
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["bucket", "raw", "target"])
 
-    rows = docs.join(F.broadcast(sample), "doc_id", "left").select(F.col("text").cast("binary").alias("text"), "y")
+    rows = docs.join(F.broadcast(sample), "doc_id", "left").select(F.col("text").cast("binary").alias("text"), ((F.col("y") == 1) & F.col("early")).alias("good"))
     sums = rows.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     out = np.zeros((2, BUCKETS), dtype=np.int64)
     for bucket, raw, target in sums.collect():  # at most BUCKETS rows
@@ -117,8 +121,9 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     normalised for itself."""
     out = np.zeros(BUCKETS)
     for part in (slice(0, WORD_BUCKETS), slice(WORD_BUCKETS, BUCKETS)):
-        t, r = target[part] + SMOOTHING, raw[part] + SMOOTHING
-        out[part] = np.log(t / t.sum()) - np.log(r / r.sum())
+        r = (raw[part] + 0.5) / (raw[part] + 0.5).sum()
+        prior = SMOOTHING * len(r)
+        out[part] = np.log((target[part] + prior * r) / (target[part].sum() + prior) / r)
     return out
 
 
@@ -128,11 +133,12 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def label_sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """(doc_id, y): at most ``size`` labelled rows of each class."""
+    """(doc_id, y, early): at most ``size`` labelled rows of each class, one half
+    of them for the target model."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").dropDuplicates(["doc_id"])
     order = F.xxhash64("doc_id")
     one, nought = (known.where(F.col("y") == y).orderBy(order).limit(size) for y in (1, 0))
-    return one.unionByName(nought)
+    return one.unionByName(nought).withColumn("early", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0)
 
 
 def weigh(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, float | None]:
@@ -151,7 +157,7 @@ def weigh(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Dat
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, log_weight double")
     rows = materialise(rows.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"))), "quality-weights")
-    seen = rows.join(F.broadcast(known), "doc_id").select("key", "y").collect()  # at most two samples
+    seen = rows.join(F.broadcast(known.where("not early")), "doc_id").select("key", "y").collect()  # at most two samples
     return rows, _level(np.array([r.key for r in seen]), np.array([r.y for r in seen]))
 
 
@@ -166,7 +172,7 @@ def _level(keys: np.ndarray, good: np.ndarray) -> float | None:
     gain = 4 * np.cumsum(good == 1) / (good == 1).sum() - np.cumsum(good == 0) / (good == 0).sum()
     best = int(np.argmax(gain))
     below = keys[best + 1] if best + 1 < len(keys) else keys[best] - 1
-    return float(keys[best] - min(MARGIN, (keys[best] - below) / 2))
+    return min(CEILING, float(keys[best] - min(MARGIN, (keys[best] - below) / 2)))
 
 
 def _ordered(value: Column) -> Column:

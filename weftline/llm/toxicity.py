@@ -59,14 +59,15 @@ def words_of(text: bytes) -> set[bytes]:
 
 
 def _distinct(texts: Iterable[bytes]) -> list[set[bytes]]:
-    """The word sets, without those that nearly repeat an earlier one: no two
-    may agree in both minhashes of one of four pairs."""
+    """The word sets, without those of texts that nearly repeat an earlier one:
+    no two may agree in both minhashes (of pairs of words) of one of four bands."""
     rng = np.random.default_rng(5)
     mul = rng.integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     seen, out = set(), []
     for text in texts:
         words = words_of(text)
-        h = np.array([xxhash.xxh3_64_intdigest(w) for w in words] or [0], dtype=np.uint64)
+        row = text.lower().split() or [b""]
+        h = np.array([xxhash.xxh3_64_intdigest(a + b" " + b) for a, b in zip(row, row[1:] or row)], dtype=np.uint64)
         least = ((h[:, None] * mul) >> np.uint64(8)).min(0).tolist()
         bands = [(k, least[2 * k], least[2 * k + 1]) for k in range(4)]
         if not any(b in seen for b in bands):
