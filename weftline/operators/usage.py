@@ -143,10 +143,10 @@ def effective_limits(requests: DataFrame, limits: DataFrame, fields: tuple[str,
     for scope, key in (("model", "model"), ("provider", "provider")):
         own = limits.where(F.col("scope") == scope).select(F.col("key").alias(key), *[F.col(f).alias(f"{scope}_{f}") for f in fields])
         out = out.join(own, key, "left")
-    every = limits.where("scope = 'global'").agg(*[F.first(f).alias(f"global_{f}") for f in fields])
-    out = out.withColumn("_one", F.lit(1)).join(every.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-    names = [f"{s}_{f}" for s in ("model", "provider", "global") for f in fields]
-    return out.withColumns({f: F.coalesce(f"model_{f}", f"provider_{f}", f"global_{f}") for f in fields}).drop(*names)
+    every = limits.where("scope = 'global'").select(*fields).first()  # one row of configuration
+    kinds = dict(limits.dtypes)
+    found = {f: F.coalesce(f"model_{f}", f"provider_{f}", F.lit(every[f] if every else None).cast(kinds[f])) for f in fields}
+    return out.withColumns(found).drop(*[f"{s}_{f}" for s in ("model", "provider") for f in fields])
 
 
 def sliding_window(events: DataFrame, key: str, limit: int, seconds: int = 60, ts: str = "ts", tie: str = "event_id") -> DataFrame:
