@@ -110,3 +110,21 @@ def test_prompts(spark):
     sizes = one(prompts.extraction_tokens(F.lit("x" * 40), "abcd", "efgh"), prompts.navigation_tokens(F.lit("x" * 40), "abcd", n_elements=2), prompts.analysis_tokens(F.lit("x" * 40), "abcd"))
     assert tuple(sizes) == (212, 411, 311)
     assert tuple(one(prompts.provider_of(F.lit("gpt")), prompts.provider_of(F.lit("claude")))) == ("openai", "anthropic")
+
+
+def test_steps(spark):
+    from weftline.plans.steps import Registry, Steps
+
+    rows = spark.range(3)
+    double = lambda d, c: d.withColumn("x", F.col("id") * c["k"])
+    broken = lambda d, c: d.select("nothing")
+    steps = Steps("continue").add("double", double).add("broken", broken)
+    assert [r.x for r in steps.run(rows, {"k": 2}).orderBy("id").collect()] == [0, 2, 4] and list(steps.failed) == ["broken"]
+    assert steps.remove("broken").run(rows, {"k": 1}).columns == ["id", "x"]
+    try:
+        Steps("retry").add("broken", broken).run(rows)
+        raise AssertionError("no error")
+    except Exception as error:
+        assert "nothing" in str(error)
+    found = Registry().register("a", 1).register("b", 2)
+    assert (found.get(), found.get("b"), found.get("c"), found.names()) == (1, 2, None, ["a", "b"])

@@ -152,6 +152,14 @@ def audit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.scores(source, found).select("page_id", "error", "warning", "info", "score", "grade")
 
 
+@query(f"""
+SELECT page_id, trim({TITLE}) AS title, regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS language, {count('a')} AS interactive, {count('img')} AS images, {count('form')} AS forms
+FROM pages""")
+def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = audit.page_facts(nodes(spark, sf_dir))
+    return facts.select("page_id", "title", F.col("lang").alias("language"), "interactive", "images", "forms")
+
+
 @query()
 def audit_successes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.successes(stored(nodes(spark, sf_dir), "nodes"))
