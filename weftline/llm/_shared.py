@@ -90,8 +90,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the two star operations: each node's larger (then smaller)
     neighbours are hung on its smallest neighbour until nothing changes.  Each
-    step pre-aggregates a minimum for a node before the join that applies it,
-    so that a node with very many neighbours is no single task's work.
+    step pre-aggregates a minimum for a node and writes it before the join that
+    applies it: that join's sides are then plain exchanges, which Spark can split
+    for a node with very many neighbours.
     """
     edges = edges.where("src <> dst").select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
@@ -100,12 +101,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     last = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "cc-least")
         large = (
             both.where("v > u").join(least, "u").where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large, "cc-large")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = materialise(small, "cc")
