@@ -92,8 +92,9 @@ def assign(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CA
     return laid.select("doc_id", "turn", "size", "source_size", "target", "taken", F.array_compact(times).alias("positions"))
 
 
-def by_position(rows: DataFrame, position: str) -> DataFrame:
-    return rows.repartitionByRange(position).sortWithinPartitions(position)
+def by_position(rows: DataFrame, position: str, tie: str = "doc_id") -> DataFrame:
+    """Range-sorted; rows of one position, or of none, are told apart by ``tie``."""
+    return rows.repartitionByRange(position, tie).sortWithinPartitions(position, tie)
 
 
 def curriculum(docs: DataFrame, **options) -> DataFrame:
