@@ -216,12 +216,32 @@ def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.select("event_id", F.posexplode(usage.retry_schedule(6)).alias("attempt", "delay_s"))
 
 
-@query()
+ORDERED = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+"""
+BUCKET_SQL = ORDERED + """r AS (
+  SELECT user_id, event_id, n, t AS last, 2.0::DOUBLE AS tokens, true AS allowed, 0.0::DOUBLE AS wait_s FROM e WHERE n = 1
+  UNION ALL
+  SELECT user_id, event_id, n, last, CASE WHEN tokens >= 1 THEN tokens - 1 ELSE tokens END, tokens >= 1,
+    CASE WHEN tokens >= 1 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 60 / 0.02::DOUBLE - (t - last)) END
+  FROM (SELECT e.user_id, e.event_id, e.n, e.t,
+      CASE WHEN floor((e.t - r.last) * 0.02::DOUBLE / 60) >= 1 THEN e.t ELSE r.last END AS last,
+      CASE WHEN floor((e.t - r.last) * 0.02::DOUBLE / 60) >= 1 THEN least(3.0::DOUBLE, r.tokens + floor((e.t - r.last) * 0.02::DOUBLE / 60)) ELSE r.tokens END AS tokens
+    FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+"""
+
+
+@query(BUCKET_SQL + "SELECT user_id, event_id, allowed, round(wait_s, 6) AS wait_s FROM r")
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.simulate(table(spark, sf_dir, "events"), "user_id", "token_bucket", rpm=0.02, burst=3)
 
 
-@query()
+@query(ORDERED + """r AS (
+  SELECT user_id, event_id, n, 0.0::DOUBLE AS wait_s, t + 60 / 0.02::DOUBLE AS free FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.n, greatest(0.0::DOUBLE, r.free - e.t), e.t + greatest(0.0::DOUBLE, r.free - e.t) + 60 / 0.02::DOUBLE
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, event_id, wait_s = 0 AS allowed, round(wait_s, 6) AS wait_s FROM r""")
 def leaky_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.simulate(table(spark, sf_dir, "events"), "user_id", "leaky_bucket", rpm=0.02)
 
@@ -261,12 +281,17 @@ def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _through(counts, "complete", "stream-totals")
 
 
-@query()
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT min(ts) AS "start", max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 2 MINUTE FROM events)""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _through(live.sessions(_event_stream(spark, sf_dir), "user_id"), "append", "stream-sessions")
+    found = _through(live.sessions(_event_stream(spark, sf_dir), "user_id"), "append", "stream-sessions")
+    return found.withColumns({k: F.col(k).cast("timestamp_ntz") for k in ("start", "end")})  # those that the watermark has closed
 
 
-@query()
+@query(BUCKET_SQL + "SELECT user_id, event_id, allowed FROM r")
 def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _through(live.token_bucket(_event_stream(spark, sf_dir), "user_id", 0.02, 3), "append", "stream-bucket")
 
