@@ -57,6 +57,8 @@ def test_main_text():
     plain = "<div><a href=1>Home</a> <a href=2>News</a></div><div>" + "A long main paragraph of plain text. " * 5 + "</div><p>Another one that follows it.</p><div class=sidebar>aside</div>"
     assert html.main_text(plain) == ("A long main paragraph of plain text. " * 5).strip() + "\nAnother one that follows it."
     assert html.main_text("<article><p>a<!-- never ends") == "a"
+    boxed = "<div id=top>Site name</div><div class='content wide'><h2>T</h2><p>Short.</p><div class=comments>c</div></div><div class=bottom>Imprint</div>"
+    assert html.main_text(boxed) == "T\nShort."
     assert html.main_text("<article><p>x</p><p>y</p></article><div class=related>z</div><article class=comment>no</article>") == "x\ny"
 
 

@@ -8,8 +8,8 @@ page marks no main part.  Window k holds the sum of the lengths of ``WINDOW``
 lines from line k on.  A segment starts where that sum surges over a threshold
 (relative to the page's largest window, so that short pages have one, too) and
 ends where it dives to zero.  Lines of the segments are the text; if the page
-marks an article (else a main part), only its lines count, and any of its lines
-is a surge.
+marks an article (else a main part, by element, role or a usual class or id),
+only its lines count, and any of its lines is a surge.
 
 Cases: a null or empty html, and a page without text, give an empty string;
 tags, quotes and comments that never end are closed by the end of the page;
@@ -46,6 +46,10 @@ WORDS = frozenset(
     "breadcrumb breadcrumbs masthead footer sidebar sidebars aside widget widgets comment comments commentlist disqus respond reply replies "
     "cookie cookies consent gdpr notice notices alert popup popups modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations pagination pager toolbar topbar skip search searchbox form".split())
+#: Whole classes and ids that mark a main part where no element does.
+MAIN_NAMES = frozenset(
+    "content main main-content maincontent article article-body article-content articlebody post post-body post-content entry entry-content story "
+    "story-body page-content body-content".split())
 #: Of these, what an article can be that isn't the page's own.
 REPLIES = frozenset("ad ads advert advertisement sponsored promo comment reply related recommended teaser".split())
 #: A class such as has-sidebar or no-comments is about another element.
@@ -76,6 +80,8 @@ def _aside(tag: str, attrs: str, inside: int) -> tuple[bool, int]:
         words = set(_SPLIT.split(f"{own.get('class', '')} {own.get('id', '')}".lower()))
         if words & named and not words & NEGATED or "header" in words and not inside and not main:
             return True, 0
+        if tag in ("div", "section", "td") and not MAIN_NAMES.isdisjoint(f"{own.get('class', '')} {own.get('id', '')}".lower().split()):
+            main = 1
     if role in ("main", "article") or own.get("itemprop") == "articleBody":
         main = max(main, 1 if role == "main" else 2)
     return False, main
