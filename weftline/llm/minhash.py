@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.llm._shared import (
-    WordHashes, connected_components, materialise, mix64, shingle_hashes,
+    WordHashes, connected_components, free_column, materialise, mix64, shingle_hashes,
 )
 
 #: Documents compared at once with as many others when buckets are searched.
-BLOCK = 1024
+BLOCK = 384
 BLOCK_SHINGLES = 1_000_000
 _SEED = 20240229
 
@@ -175,7 +175,9 @@ def _search_groups(members: DataFrame, texts: DataFrame, width: int, percent: in
     documents and ``BLOCK_SHINGLES`` shingles."""
     sizes = members.groupBy("g").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    blocks = members.join(sizes, "g")
+    # Written first, so that Spark can split the join for a very large group.
+    sizes = materialise(sizes.where("nb > 1"), "minhash-sizes")
+    blocks = members.join(sizes, "g", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
     blocks = blocks.withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     cells = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         F.xxhash64("g", F.least("b", "o"), F.greatest("b", "o")).alias("cell"), "g",
@@ -287,9 +289,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, collecti
 def drop_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without those whose component has an earlier one.
     Of repeated rows of one id one stays; rows without id all stay."""
-    found = near_duplicates(docs, **options)
-    copies = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_copy")).distinct()
-    left = docs.join(copies.hint("shuffle_hash"), F.col("doc_id") == F.col("_copy"), "left_anti")
+    found, copy = near_duplicates(docs, **options), free_column(docs, "copy")
+    copies = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(copy)).distinct()
+    left = docs.join(copies.hint("shuffle_hash"), F.col("doc_id") == F.col(copy), "left_anti")
     ids = docs.where("doc_id is not null").agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d")).first()
     if ids.n == ids.d:
         return left

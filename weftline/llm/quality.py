@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftline.llm._shared import WORD_CACHE, materialise, radix_threshold
+from weftline.llm._shared import WORD_CACHE, free_column, materialise, radix_threshold
 
 SAMPLE = 4000
 WORD_BITS, SHAPE_BITS = 14, 12
@@ -210,5 +210,6 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     if level is None:
         return docs
     kept = resample(rows, rows.where(F.col("key") >= level).count()).select("doc_id").distinct()
-    rejected = rows.select("doc_id").distinct().join(kept, "doc_id", "left_anti").select(F.col("doc_id").alias("_rejected"))
-    return docs.join(rejected.hint("shuffle_hash"), F.col("doc_id") == F.col("_rejected"), "left_anti")
+    name = free_column(docs, "rejected")
+    rejected = rows.select("doc_id").distinct().join(kept, "doc_id", "left_anti").select(F.col("doc_id").alias(name))
+    return docs.join(rejected.hint("shuffle_hash"), F.col("doc_id") == F.col(name), "left_anti")
