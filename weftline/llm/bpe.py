@@ -27,6 +27,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
+from weftline.functions.pages import spread
+
 LEAF = 1024
 
 
@@ -130,7 +132,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, columns: tuple[str, ...]
             types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[c], types.get(c, pa.string())) for c in columns)], names=names)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+    return spread(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(
         run, f"doc_id {kind}, " + ", ".join(f"{c} {KINDS[c]}" for c in columns))
 
 

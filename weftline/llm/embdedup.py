@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from weftline.functions.pages import spread
 from weftline.llm._shared import connected_components, materialise, mix64
 from weftline.llm._vectors import list_rows, matrix
 
@@ -100,7 +101,7 @@ def _features(vectors: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(unit, pa.binary())],
                 names=["vec_id", "label", "p0", "p1", "unit"])
 
-    return vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding").mapInArrow(
+    return spread(vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding")).mapInArrow(
         run, "vec_id long, label string, p0 long, p1 long, unit binary")
 
 

@@ -26,6 +26,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from weftline.functions.pages import spread
+
 WINDOW = 3
 #: A surge is more than this many characters in a window, or this part of the
 #: page's largest window if that is less.
@@ -202,5 +204,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", F.col("html").cast("string").alias("html")).mapInArrow(
+    return spread(pages.select("page_id", "url", F.col("html").cast("string").alias("html"))).mapInArrow(
         run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

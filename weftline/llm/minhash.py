@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from weftline.functions.pages import spread
 from weftline.llm._shared import (
     WordHashes, connected_components, free_column, materialise, mix64, shingle_hashes,
 )
@@ -81,7 +82,7 @@ def signatures(docs: DataFrame, width: int, collections: int, rows: int) -> Data
             cols = [batch.column(0).cast(pa.int64())] + [pa.array(out[:, k].view(np.int64)) for k in range(out.shape[1])]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))).mapInArrow(run, schema)
 
 
 def _needed_texts(ids: DataFrame, docs: DataFrame) -> DataFrame:

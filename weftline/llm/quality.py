@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weftline.functions.pages import spread
 from weftline.llm._shared import WORD_CACHE, free_column, materialise, radix_threshold
 
 SAMPLE = 4000
@@ -108,7 +109,7 @@ def _counts(docs: DataFrame, sample: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["bucket", "raw", "target"])
 
-    rows = docs.join(F.broadcast(sample), "doc_id", "left").select(F.col("text").cast("binary").alias("text"), ((F.col("y") == 1) & F.col("early")).alias("good"))
+    rows = spread(docs.select("doc_id", "text")).join(F.broadcast(sample), "doc_id", "left").select(F.col("text").cast("binary").alias("text"), ((F.col("y") == 1) & F.col("early")).alias("good"))
     sums = rows.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     out = np.zeros((2, BUCKETS), dtype=np.int64)
     for bucket, raw, target in sums.collect():  # at most BUCKETS rows
@@ -155,7 +156,7 @@ def weigh(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Dat
             weights = [float(by_bucket[grams(t.as_py() or b"", tokens)].sum()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.float64())], names=["doc_id", "log_weight"])
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, log_weight double")
+    rows = spread(docs.select("doc_id", F.col("text").cast("binary").alias("text"))).mapInArrow(run, f"doc_id {kind}, log_weight double")
     rows = materialise(rows.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"))), "quality-weights")
     seen = rows.join(F.broadcast(known.where("not early")), "doc_id").select("key", "y").collect()  # at most two samples
     return rows, _level(np.array([r.key for r in seen]), np.array([r.y for r in seen]))

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weftline.functions.pages import spread
 from weftline.llm._shared import materialise
 from weftline.llm._vectors import list_rows, matrix
 
@@ -47,7 +48,7 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
                     rows.append(np.floor(scale * v).astype(np.int64).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names=["vec_id", "v"])
 
-    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, v binary")
+    return spread(vectors.select(F.col("vec_id").cast("long"), "embedding")).mapInArrow(run, "vec_id long, v binary")
 
 
 def _bounds(x: np.ndarray, segments: int) -> np.ndarray:
