@@ -189,3 +189,20 @@ def test_unknown_strategy():
     assert strategy_of("SIZE") == "size" and strategy_of("what") == "semantic"
     with pytest.raises(KeyError):
         usage.SIMULATIONS["none"]
+
+
+def test_command_line(spark, tmp_path):
+    from weftline.__main__ import main
+
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "a.html").write_text("<title>T</title><main><h1>Hi</h1><p>x</main>")
+    main(["extract", str(tmp_path / "pages"), "--what", "markdown", "--out", str(tmp_path / "md")])
+    assert "# [TITLE] Hi" in spark.read.json(str(tmp_path / "md")).first().markdown
+    main(["extract", str(tmp_path / "pages"), "--what", "chunks", "--strategy", "size", "--out", str(tmp_path / "chunks")])
+    assert spark.read.json(str(tmp_path / "chunks")).first().result_kind == "Single"
+    (tmp_path / "r.json").write_text('{"n": 1}\n{"n": 0}\nno\n')
+    (tmp_path / "s.json").write_text('{"properties": {"n": {"type": "integer", "minimum": 1}}}')
+    main(["validate", str(tmp_path / "r.json"), "--schema", str(tmp_path / "s.json"), "--mode", "strict", "--out", str(tmp_path / "v")])
+    assert sorted(r.is_valid for r in spark.read.json(str(tmp_path / "v")).collect()) == [False, False, True]
+    main(["template", "create", str(tmp_path / "t"), "--name", "n", "--instruction", "i"])
+    assert files.templates(spark, str(tmp_path / "t")).count() == 1
