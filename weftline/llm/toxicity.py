@@ -37,6 +37,8 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weftline.functions.pages import spread
+
 #: Labelled rows by class for the dictionaries and, again, for the calibration.
 SAMPLE = 1500
 SAMPLE_BYTES = 20_000
@@ -265,7 +267,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             scores = [own.score(t.as_py() or b"") for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
-    rows = docs.select(*keep, F.col("text").cast("binary").alias("text"))
+    rows = spread(docs.select(*keep, F.col("text").cast("binary").alias("text")))
     kinds = dict(docs.dtypes)
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"]))
 
