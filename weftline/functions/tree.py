@@ -322,10 +322,12 @@ def path_token(node: Node) -> str:
     return f"{node.tag}.{node.classes[0]}" if node.classes else node.tag
 
 
-def rows(root: Node) -> list[dict]:
+def rows(root: Node, wanted: frozenset[str] | None = None) -> list[dict]:
     """A row for each element in document order.  An element d lies below a if
-    a.pre < d.pre <= a.post."""
+    a.pre < d.pre <= a.post.  Texts of subtrees are gathered only if ``wanted``
+    (None: all) names them."""
     out: list[dict] = []
+    with_text = wanted is None or not wanted.isdisjoint(("text", "text_concat"))
 
     def visit(node: Node, parent: dict | None, index: int) -> None:
         stack = [(node, parent, index, False)]
@@ -334,19 +336,24 @@ def rows(root: Node) -> list[dict]:
             if done:
                 up["post"] = len(out) - 1
                 continue
-            texts = n.texts()
+            elements = n.elements
             row = {
                 "pre": len(out), "parent_pre": up["pre"] if up else None, "depth": up["depth"] + 1 if up else 0, "child_index": k,
                 "tag": n.tag, "attrs": list(n.attrs.items()), "classes": n.classes,
-                "own_text": "".join(c for c in n.children if isinstance(c, str)), "text": " ".join(texts), "text_concat": "".join(texts),
-                "n_child_nodes": len(n.children), "n_child_elements": len(n.elements),
+                "own_text": "".join(c for c in n.children if isinstance(c, str)), "n_child_nodes": len(n.children), "n_child_elements": len(elements),
                 "parent_tag": up["tag"] if up else None, "path": [*up["path"], n.tag] if up else [n.tag],
                 "ancestors": [*up["ancestors"], up["pre"]] if up else [], "tokens": [*up["tokens"], path_token(n)] if up else [path_token(n)],
             }
+            if with_text:
+                texts = n.texts()
+                row["text"], row["text_concat"] = " ".join(texts), "".join(texts)
             row["selector_path"] = f"#{n.attrs['id']}" if "id" in n.attrs else " > ".join(row["tokens"])
             out.append(row)
-            stack.append((n, row, 0, True))
-            stack.extend((c, row, j, False) for j, c in reversed(list(enumerate(n.elements))))
+            if elements:
+                stack.append((n, row, 0, True))
+                stack.extend((c, row, j, False) for j, c in reversed(list(enumerate(elements))))
+            else:
+                row["post"] = row["pre"]
 
     visit(root, None, 0)
     return out

@@ -61,10 +61,13 @@ ROLE_BY_CLASS = ROLE_BY_ID | {
 }
 
 
-def dom_nodes(pages: DataFrame, max_depth: int | None = None) -> DataFrame:
+def dom_nodes(pages: DataFrame, max_depth: int | None = None, columns: str | None = None) -> DataFrame:
     """One row for each element of each page (page_id, html); ``max_depth``
-    counts from body and leaves deeper elements out."""
-    nodes = per_page(pages, lambda html: tree.rows(tree.parse(html)), NODE_FIELDS)
+    counts from body and leaves deeper elements out.  Python makes only the
+    ``columns`` named (all without): Spark can't prune what a function returns."""
+    names = None if columns is None else frozenset(columns.split()) | ({"depth"} if max_depth is not None else set())
+    kept = ", ".join(f for f in NODE_FIELDS.split(", ") if names is None or f.split()[0] in names)
+    nodes = per_page(pages, lambda html: tree.rows(tree.parse(html), names), kept)
     return nodes if max_depth is None else nodes.where(F.col("depth") - 1 <= max_depth)
 
 

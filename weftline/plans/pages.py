@@ -18,8 +18,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.dom_nodes(pages(spark, sf_dir))
+def nodes(spark: SparkSession, sf_dir: str, columns: str | None = None) -> DataFrame:
+    return dom.dom_nodes(pages(spark, sf_dir), columns=columns)
 
 
 def count(tag: str) -> str:
@@ -46,14 +46,14 @@ def page_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page_id, trim({TITLE}) AS title FROM pages")
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.titles(nodes(spark, sf_dir))
+    return dom.titles(nodes(spark, sf_dir, "pre tag own_text"))
 
 
 @query("SELECT page_id, element_type, n FROM (" + " UNION ALL ".join(
     f"SELECT page_id, '{k}' AS element_type, {' + '.join(count(t) for t in v.split())} AS n FROM pages"
     for k, v in ({t: t for t in represent.COUNTED} | represent.GROUPS).items()) + ")")
 def element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return represent.element_counts(nodes(spark, sf_dir))
+    return represent.element_counts(nodes(spark, sf_dir, "tag"))
 
 
 @query(f"""
@@ -61,14 +61,14 @@ WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]
 m AS (SELECT page_id, {UNESCAPE.format("regexp_extract(x, 'href=\"([^\"]*)\"', 1)")} AS href, trim({UNESCAPE.format("regexp_extract(x, '>([^<]*)<', 1)")}) AS text FROM l)
 SELECT page_id, href, text, count(*) OVER (PARTITION BY page_id, text) AS same_text FROM m""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.links(nodes(spark, sf_dir)).drop("pre")
+    return dom.links(nodes(spark, sf_dir, "pre tag attrs text_concat")).drop("pre")
 
 
 @query(f"""
 SELECT page_id, 'article' AS selector, 'selector' AS method, {SPACES.format(UNESCAPE.format("regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g')"))} AS text
 FROM pages""")
 def main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dom.main_content(nodes(spark, sf_dir))
+    found = dom.main_content(nodes(spark, sf_dir, "pre tag attrs classes text parent_tag path selector_path"))
     return found.select("page_id", "selector", "method", X.clean_whitespace("text").alias("text"))
 
 
@@ -77,12 +77,12 @@ SELECT page_id, 'navigation' AS area, 'nav' AS selector, {count('nav')} AS n FRO
 UNION ALL SELECT page_id, 'interactive', 'a', {count('a')} FROM pages
 UNION ALL SELECT page_id, 'interactive', '[href]', {count('a')} FROM pages""")
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.areas(nodes(spark, sf_dir)).groupBy("page_id", "area", "selector").agg(F.count("*").alias("n"))
+    return dom.areas(nodes(spark, sf_dir, "pre tag attrs classes path selector_path")).groupBy("page_id", "area", "selector").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, 'footer' AS area, 'footer' AS selector, 'footer' AS tag FROM pages WHERE html LIKE '%<footer%'")
 def header_and_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.header_and_footer(nodes(spark, sf_dir)).select("page_id", "area", "selector", "tag")
+    return dom.header_and_footer(nodes(spark, sf_dir, "pre tag attrs classes selector_path")).select("page_id", "area", "selector", "tag")
 
 
 @query(f"""
@@ -90,33 +90,35 @@ SELECT page_id, 'Content' AS element_type, {' + '.join(count(t) for t in 'p h1 u
 UNION ALL SELECT page_id, 'Container', {' + '.join(count(t) for t in 'nav div article footer'.split())} FROM pages
 UNION ALL SELECT page_id, 'Interactive', {count('a')} FROM pages""")
 def type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.type_distribution(nodes(spark, sf_dir)).where("element_type <> 'Unknown'")
+    return dom.type_distribution(nodes(spark, sf_dir, "tag attrs path depth")).where("element_type <> 'Unknown'")
 
 
 @query("SELECT page_id, CASE WHEN html LIKE '%<article%' THEN 'article' WHEN lower(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) LIKE '%search%' THEN 'search-results' ELSE 'content' END AS page_type FROM pages")
 def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.page_types(nodes(spark, sf_dir))
+    return dom.page_types(nodes(spark, sf_dir, "pre tag attrs classes own_text text parent_tag path"))
 
 
 @query()
 def page_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.statistics(nodes(spark, sf_dir))
+    return dom.statistics(nodes(spark, sf_dir, "tag attrs path depth"))
 
 
 @query()
 def dom_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.elements(nodes(spark, sf_dir)).drop("attrs")
+    return dom.elements(nodes(spark, sf_dir, "pre tag attrs classes own_text selector_path")).drop("attrs")
 
 
 @query("SELECT page_id, 'lang' AS attribute, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) AS value FROM pages UNION ALL SELECT page_id, 'charset', regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) FROM pages")
 def document_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir).where(F.col("tag").isin("html", "meta"))
+    n = nodes(spark, sf_dir, "tag attrs").where(F.col("tag").isin("html", "meta"))
     pair = lambda k: F.struct(F.lit(k).alias("attribute"), attr(k).alias("value"))
     return n.select("page_id", F.explode(F.array(pair("lang"), pair("charset"))).alias("x")).select("page_id", "x.*").where("value is not null")
 
 
 # Audit --------------------------------------------------------------------
 
+#: What the rules read of a node.
+AUDITED = "pre child_index tag attrs classes text text_concat n_child_nodes parent_tag path ancestors"
 AUDIT_SQL = f"""
 WITH t AS (SELECT page_id, html, trim({TITLE}) AS title FROM pages),
 l AS (SELECT page_id, trim({UNESCAPE.format("regexp_extract(unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>')), '>([^<]*)<', 1)")}) AS text FROM pages),
@@ -137,7 +139,7 @@ issues AS (
 
 @query(AUDIT_SQL + "SELECT page_id, feature, severity, description FROM issues")
 def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audit.issues(stored(nodes(spark, sf_dir), "nodes"))
+    found = audit.issues(stored(nodes(spark, sf_dir, AUDITED), "nodes"))
     return found.select("page_id", "feature", "severity", "description")
 
 
@@ -148,7 +150,7 @@ s AS (SELECT *, greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE - 5.0::
 SELECT page_id, error, warning, info, score, CASE WHEN score >= 95 THEN 'AAA' WHEN score >= 85 THEN 'AA' WHEN score >= 70 THEN 'A' ELSE 'Failing' END AS grade FROM s""")
 def audit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = pages(spark, sf_dir)
-    found = audit.issues(stored(nodes(spark, sf_dir), "nodes"))
+    found = audit.issues(stored(nodes(spark, sf_dir, AUDITED), "nodes"))
     return audit.scores(source, found).select("page_id", "error", "warning", "info", "score", "grade")
 
 
@@ -156,24 +158,24 @@ def audit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page_id, trim({TITLE}) AS title, regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS language, {count('a')} AS interactive, {count('img')} AS images, {count('form')} AS forms
 FROM pages""")
 def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = audit.page_facts(nodes(spark, sf_dir))
+    facts = audit.page_facts(nodes(spark, sf_dir, AUDITED))
     return facts.select("page_id", "title", F.col("lang").alias("language"), "interactive", "images", "forms")
 
 
 @query()
 def audit_successes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.successes(stored(nodes(spark, sf_dir), "nodes"))
+    return audit.successes(stored(nodes(spark, sf_dir, AUDITED), "nodes"))
 
 
 @query()
 def audit_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = stored(nodes(spark, sf_dir), "nodes")
+    n = stored(nodes(spark, sf_dir, AUDITED), "nodes")
     return audit.feature_scores(pages(spark, sf_dir), audit.issues(n), audit.successes(n))
 
 
 @query()
 def audit_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, n = pages(spark, sf_dir), stored(nodes(spark, sf_dir), "nodes")
+    source, n = pages(spark, sf_dir), stored(nodes(spark, sf_dir, AUDITED), "nodes")
     found = audit.issues(n)
     return audit.summaries(audit.scores(source, found), audit.feature_scores(source, found, audit.successes(n)))
 
@@ -252,7 +254,7 @@ SELECT page_id, 'Title: ' || {TITLE} || chr(10) || chr(10) || 'Page Structure:'
   || '- H1: ' || {count('h1')} || ' headings' || chr(10) AS summary
 FROM pages""")
 def page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return represent.page_summary(nodes(spark, sf_dir))
+    return represent.page_summary(nodes(spark, sf_dir, "pre tag attrs classes text_concat"))
 
 
 @query()
@@ -262,23 +264,23 @@ def representations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return represent.outline(nodes(spark, sf_dir))
+    return represent.outline(nodes(spark, sf_dir, "pre parent_pre tag text_concat"))
 
 
 @query()
 def element_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return represent.element_table(nodes(spark, sf_dir))
+    return represent.element_table(nodes(spark, sf_dir, "pre tag attrs text"))
 
 
 @query("SELECT page_id, name, value FROM (SELECT page_id, 'title' AS name, " + TITLE + " AS value FROM pages UNION ALL " + " UNION ALL ".join(
     f"SELECT page_id, 'count_{k}', CAST({' + '.join(count(t) for t in v.split())} AS VARCHAR) FROM pages" for k, v in ({t: t for t in represent.COUNTED} | represent.GROUPS).items()) + ")")
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return represent.page_metadata(nodes(spark, sf_dir))
+    return represent.page_metadata(nodes(spark, sf_dir, "pre tag attrs text_concat"))
 
 
 @query()
 def important_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return represent.important_elements(nodes(spark, sf_dir))
+    return represent.important_elements(nodes(spark, sf_dir, "pre tag text"))
 
 
 @query()
