@@ -38,6 +38,8 @@ from weftline.llm._shared import (
 )
 
 #: Documents compared at once with as many others when buckets are searched.
+#: Smaller blocks even out the tasks and ship more texts: a group's texts are
+#: sent once for each of its blocks.
 BLOCK = 384
 BLOCK_SHINGLES = 1_000_000
 _SEED = 20240229
