@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: A word cache of this many entries is emptied before the next batch.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,7 +150,7 @@ def radix_threshold(df: DataFrame, key: str, want: int) -> tuple[int | None, int
         shift -= 16
 
 
-def modest_batches(spark: SparkSession, records: int = 1000) -> None:
+def modest_batches(spark: SparkSession, records: int = 500) -> None:
     """Batches of at most ``records`` rows for Python, as texts may be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= records:

@@ -48,7 +48,7 @@ LONGEST = 64
 LEVEL = 16
 #: Least gains, in bytes, of the classes by which windows are counted.
 GAINS = (1, 3, 5, 7, 9, 12)
-WINDOW_CACHE = 300_000
+WINDOW_CACHE = 150_000
 
 
 def words_of(text: bytes) -> set[bytes]:
