@@ -111,6 +111,51 @@ def test_toxicity_learns_nothing_from_held_out_labels(spark):
     assert (a.weights, a.bias, a.toxic) == (b.weights, b.bias, b.toxic)
 
 
+def test_toxic_terms_are_seen_wherever_they_stand():
+    docs, labels = labelled(1500, 3)
+    rows = [(text.encode(), y) for (_, text, *_), (_, _, y) in zip(docs, labels)]
+    model = toxicity.train(rows[:1000], rows[1000:])
+    alone = model.gains(b"scoundrel")[0][b"scoundrel"]
+    assert alone > 0
+    for text in ['"scoundrel"', "(scoundrel", "*scoundrel*", "you-scoundrel", "l'scoundrel", "l\u2019scoundrel", "\u201escoundrel\u201c", "_scoundrel", "ollscoundrel"]:
+        found = model.gains(text.encode())[0]
+        assert max(found.values(), default=0) >= alone - 2, text
+    spaceless = ("\u6f22\u5b57" * 51 + "scoundrel" + "\u6f22\u5b57" * 30).encode()
+    assert max(model.gains(spaceless)[0].values()) >= 3
+    plain = "the garden window paper and a letter of music in winter light baren losta miver tukin"
+    clean, bad = model.score(plain.encode()), model.score((plain + ' (scoundrel, "wretched" and you-vermin').encode())
+    assert clean < 0.5 < bad
+
+
+def test_toxic_text_without_spaces_is_learnt():
+    rng = random.Random(7)
+    signs = [chr(0x4E00 + k) for k in range(300)]
+    rows = []
+    for k in range(600):
+        text = [rng.choice(signs) for _ in range(rng.randint(40, 120))]
+        if k % 3 == 0:
+            text.insert(rng.randrange(len(text)), "\u9f98\u9f99\u9f9a")
+        rows.append(("".join(text).encode(), int(k % 3 == 0)))
+    model = toxicity.train(rows[:300], rows[300:450])
+    assert sum((model.score(t) >= 0.5) == bool(y) for t, y in rows[450:]) >= 145
+
+
+def test_toxic_phrases_of_ordinary_words():
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in ("ba", "lo", "mi", "tu") for b in ("ren", "sta", "ver", "kin")] + ["go", "away"]
+    rows = []
+    for k in range(600):
+        text = [rng.choice(words) for _ in range(rng.randint(20, 40))]
+        text = [w for w, x in zip(text, text[1:]) if (w, x) != ("go", "away")] + ["miver"]
+        if k % 3 == 0:
+            at = rng.randrange(len(text))
+            text[at:at] = ["go", "away"]
+        rows.append((" ".join(text).encode(), int(k % 3 == 0)))
+    model = toxicity.train(rows[:300], rows[300:450])
+    assert b"go away" in model.phrases
+    assert sum((model.score(t) >= 0.5) == bool(y) for t, y in rows[450:]) >= 145
+
+
 def test_toxicity_without_labels(spark):
     d = spark.createDataFrame([(1, "a b", "en", "s", 1)], DOCS)
     assert toxicity.score(d, toxicity.fit(d, spark.createDataFrame([], LABELS))).first().score < 0.5

@@ -3,11 +3,18 @@
 Two zstandard dictionaries are trained, one on ordinary text and one on toxic
 text.  The ordinary one holds the beginnings that ordinary words have.  The toxic
 one holds the same and, after them, the words and beginnings that toxic
-documents have far more often than ordinary ones.  A window is a word; each of
-its bytes is written together with those before it in the word, as a print of
-``CODE`` bytes, so that a match means the same beginning and saves more than it
-costs.  The bytes that the toxic dictionary saves on a window are its gain.  As
-the dictionaries agree in all else, gains of ordinary words are mostly nought.
+documents have far more often than ordinary ones.  Windows of a token (what
+stands between white space) start at its first byte, at every word after
+punctuation, an apostrophe or a hyphen, and, as inner windows, at every other
+character, so that compounds and text without spaces are seen; each goes on to
+the token's end, for ``LONGEST`` bytes at most.  Two neighbouring words that toxic
+documents have far more often are a window, too.  Each byte of a window is written
+together with those before it, as a print of ``CODE`` bytes, so that a match means
+the same beginning and saves more than it costs.  Prints of inner windows and of
+phrases differ from those of beginnings: what tells as a word's beginning may be
+a common syllable inside words, so inner pieces are counted over all windows.  The
+bytes that the toxic dictionary saves on a window are its gain.  As the
+dictionaries agree in all else, gains of ordinary windows are mostly nought.
 
 A document's distinct windows are counted by their gain; thresholds of the gain
 and the weights of the counts are calibrated by logistic regression on labelled
@@ -18,14 +25,15 @@ of at most ``SAMPLE_BYTES`` each, chosen by hash); scoring covers every window o
 every text.  Sampled texts that nearly repeat one already taken are left out, so
 that copies don't pass for evidence.
 
-Cases: a null or empty text is scored with no windows; a word longer than
-``LONGEST`` bytes is cut into several windows; without labels of both classes all
+Cases: a null or empty text is scored with no windows; a token of any length has
+windows at all its characters; without labels of both classes all
 scores are the share of toxic labels (0 without any); repeated rows get equal
 scores; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -50,30 +58,53 @@ LEVEL = 16
 GAINS = (1, 3, 5, 7, 9, 12)
 WINDOW_CACHE = 150_000
 
+#: Where prints start from: windows at beginnings of words, inner ones, phrases.
+OUTER, INNER, PHRASE = 0, 1, 2
+_ASCII_WORD = re.compile(rb"(?<=[^0-9a-z])[0-9a-z]")
+_WORD = re.compile(r"(?<=[\W_])[^\W_]")
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+
+
+def starts_of(token: bytes) -> list[int]:
+    """Where words begin in the token: its first byte, and what follows
+    punctuation."""
+    if token.isalnum():
+        return [0]
+    if token.isascii():
+        return [0, *(m.start() for m in _ASCII_WORD.finditer(token))]
+    text, out, at, done = token.decode("utf-8", "surrogateescape"), [0], 0, 0
+    for m in _WORD.finditer(text):
+        at += len(text[done : m.start()].encode("utf-8", "surrogateescape"))
+        done = m.start()
+        out.append(at)
+    return out
+
+
+def core_of(token: bytes) -> bytes:
+    """The token without punctuation around it."""
+    if token.isalnum():
+        return token
+    return _EDGES.sub("", token.decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape")
 
-def words_of(text: bytes) -> set[bytes]:
-    words = set(text.lower().split())
-    long = [w for w in words if len(w) > LONGEST]
-    for w in long:
-        words.remove(w)
-        words.update(w[k : k + LONGEST] for k in range(0, len(w), LONGEST))
-    return words
 
+def _pairs(row: list[bytes], cores: dict[bytes, bytes]) -> set[bytes]:
+    clean = [cores.get(w) or cores.setdefault(w, core_of(w)) for w in row]
+    return {a + b" " + b for a, b in zip(clean, clean[1:]) if a and b}
 
-def _distinct(texts: Iterable[bytes]) -> list[set[bytes]]:
-    """The word sets, without those of texts that nearly repeat an earlier one:
+
+def _distinct(texts: Iterable[bytes]) -> list[list[bytes]]:
+    """The texts' tokens, without those of texts that nearly repeat an earlier one:
     no two may agree in both minhashes (of pairs of words) of one of four bands."""
     rng = np.random.default_rng(5)
     mul = rng.integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     seen, out = set(), []
     for text in texts:
-        words = words_of(text)
         row = text.lower().split() or [b""]
         h = np.array([xxhash.xxh3_64_intdigest(a + b" " + b) for a, b in zip(row, row[1:] or row)], dtype=np.uint64)
         least = ((h[:, None] * mul) >> np.uint64(8)).min(0).tolist()
         bands = [(k, least[2 * k], least[2 * k + 1]) for k in range(4)]
         if not any(b in seen for b in bands):
-            out.append(words)
+            out.append(row)
         seen.update(bands)
     return out
 
@@ -81,10 +112,10 @@ def _distinct(texts: Iterable[bytes]) -> list[set[bytes]]:
 CODE = 3
 
 
-def window(word: bytes, end: bool = True) -> bytes:
+def window(word: bytes, end: bool = True, kind: int = OUTER) -> bytes:
     """``word`` as it is compressed: a print of each beginning; a zero byte
     marks the word's end."""
-    out, h = bytearray(), 0
+    out, h = bytearray(), kind
     for b in word + b"\0" if end else word:
         h = (h * 0x9E3779B1 + b + 1) & 0xFFFFFFFF
         h ^= h >> 15
@@ -92,6 +123,16 @@ def window(word: bytes, end: bool = True) -> bytes:
     return bytes(out)
 
 
+def _outer(rows: list[list[bytes]]) -> list[set[bytes]]:
+    """Each text's windows at beginnings of words."""
+    cuts: dict[bytes, list[bytes]] = {}
+    for row in rows:
+        for w in row:
+            if w not in cuts:
+                cuts[w] = [w[k : k + LONGEST] for k in starts_of(w)]
+    return [{x for w in set(row) for x in cuts[w]} for row in rows]
+
+
 def _ordinary_strings(sets: list[set[bytes]]) -> bytes:
     """The beginnings that save most in ordinary words, most valuable last."""
     found: Counter = Counter()
@@ -143,6 +184,86 @@ def _toxic_pieces(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[b
     return sorted(stems, key=lambda s: (-good[s], s)) + [w + b"\0" for w in under[:TOXIC_PIECES]]
 
 
+def _telling(in_t: Counter, in_o: Counter, n_t: int, n_o: int) -> dict[bytes, float]:
+    """Those that toxic texts have eight times as often and that chance (Chernoff's
+    bound, for as many as were tried) doesn't give, with their evidence."""
+    least, share, out = log(max(1, len(in_t))) + 3, n_t / (n_t + n_o), {}
+    for s, t in in_t.items():
+        o = in_o[s]
+        evidence = t * log(t / ((t + o) * share)) + (o * log(o / ((t + o) * (1 - share))) if o else 0)
+        if evidence >= least and log(((t + 0.5) / (n_t + 1)) / ((o + 0.5) / (n_o + 1))) > log(8):
+            out[s] = evidence
+    return out
+
+
+def _inside(word: bytes, longest: int = 12) -> set[bytes]:
+    """The beginnings of all windows of a token, at whatever character."""
+    ends = len(word)
+    return {word[k:n] for k in range(ends - 2) if word[k] & 0xC0 != 0x80 for n in range(k + 3, min(ends, k + longest) + 1)}
+
+
+def _inner_pieces(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[list[bytes], list[bytes]]:
+    """Strings that tell wherever they stand, most telling first, and the longest
+    of their beginnings that ordinary texts have, too."""
+    n_t, n_o = len(toxic), len(ordinary)
+    # Bounds from the counts of tokens leave few strings to count by text.
+    most: Counter = Counter()
+    for w, n in Counter(w for row in toxic for w in set(row)).items():
+        for s in _inside(w):
+            most[s] += n
+    low = {s for s, n in most.items() if n < 3}
+    tried = len(most) - len(low)
+    for s in low:
+        del most[s]
+    held: dict[bytes, int] = {}
+    for w, n in Counter(w for row in ordinary for w in set(row)).items():
+        for s in _inside(w) & most.keys():
+            held[s] = max(held.get(s, 0), n)
+    left = {s for s, t in most.items() if log(((min(t, n_t) + 0.5) / (n_t + 1)) / ((held.get(s, 0) + 0.5) / (n_o + 1))) > log(8)}
+
+    def counted(rows: list[list[bytes]], among: set[bytes]) -> Counter:
+        own: dict[bytes, set[bytes]] = {}
+        found: Counter = Counter()
+        for row in rows:
+            words = set(row)
+            for w in words:
+                if w not in own:
+                    own[w] = _inside(w) & among
+            found.update({s for w in words for s in own[w]})
+        return found
+
+    in_t = counted(toxic, left)
+    told = _telling(in_t, counted(ordinary, in_t.keys()), n_t, n_o)
+    # Of strings within one another the one that has nearly all texts stays.
+    whole = set()
+    for s in told:
+        ends = {s[:-1]} | {s[k:] for k in range(1, len(s) - 2)}
+        whole.update(x for x in ends if x in told and in_t[s] >= 0.95 * in_t[x])
+    stems = {s for s in told if s not in whole}
+    stems = {s for s in stems if not any(s[a:b] in stems and 0.95 * in_t[s[a:b]] > in_t[s] for a in range(len(s) - 2) for b in range(a + 3, len(s) + (a > 0)))}
+    parts = {s[:k] for s in stems for k in range(1, len(s))}
+    tokens = b"\n".join(w for row in ordinary for w in set(row))
+    common = {p for p in parts if tokens.count(p) >= 2}
+    common = {p for p in common if not any(q != p and q.startswith(p) for q in common)}
+    return sorted(stems, key=lambda s: (-told[s], s)), sorted(common)
+
+
+def _phrases(toxic: list[list[bytes]], ordinary: list[list[bytes]], pieces: list[bytes], inner: list[bytes]) -> list[bytes]:
+    """Pairs of neighbouring words that tell without a telling word, most telling
+    first."""
+    cores: dict[bytes, bytes] = {}
+    in_t: Counter = Counter()
+    for row in toxic:
+        in_t.update(_pairs(row, cores))
+    in_t = Counter({s: n for s, n in in_t.items() if n >= 3})
+    in_o: Counter = Counter()
+    for row in ordinary:
+        in_o.update(_pairs(row, cores) & in_t.keys())
+    told = _telling(in_t, in_o, len(toxic), len(ordinary))
+    plain = {s for s in told if not any(w.startswith(tuple(pieces)) for w in s.split(b" ")) and not any(x in s for x in inner)}
+    return sorted(plain, key=lambda s: (-told[s], s))
+
+
 @dataclass
 class Model:
     """Both dictionaries and the calibrated weights; a few hundred kilobytes at
@@ -151,13 +272,18 @@ class Model:
     ordinary: bytes = b""
     toxic: bytes = b""
     starts: frozenset = frozenset()
+    inner: frozenset = frozenset()
+    phrases: frozenset = frozenset()
+    firsts: frozenset = frozenset()
     weights: list[float] = field(default_factory=lambda: [0.0] * (len(GAINS) + 1))
     bias: float = -20.0
     _cache: dict = field(default_factory=dict, repr=False)
+    _bare: set = field(default_factory=set, repr=False)
+    _any: re.Pattern | None = field(default=None, repr=False)
     _sides: tuple = field(default=(), repr=False)
 
     def __getstate__(self):
-        return {"ordinary": self.ordinary, "toxic": self.toxic, "starts": self.starts, "weights": self.weights, "bias": self.bias, "_cache": {}, "_sides": ()}
+        return {"ordinary": self.ordinary, "toxic": self.toxic, "starts": self.starts, "inner": self.inner, "phrases": self.phrases, "firsts": self.firsts, "weights": self.weights, "bias": self.bias, "_cache": {}, "_bare": set(), "_any": None, "_sides": ()}
 
     def _compressors(self):
         def side(content: bytes):
@@ -172,24 +298,72 @@ class Model:
             self._sides = (side(self.ordinary), side(self.toxic))
         return self._sides
 
-    def gain(self, word: bytes) -> int:
-        found = self._cache.get(word)
+    def gain(self, word: bytes, kind: int = OUTER) -> int:
+        """What the toxic dictionary saves on one window."""
         # Without a toxic piece's first three bytes there is nothing to match.
-        if found is None and word[:3] not in self.starts:
-            found = self._cache[word] = 0
-        if found is None:
-            plain, toxic = self._compressors()
-            coded = window(word)
-            found = self._cache[word] = len(plain.compress(coded)) - len(toxic.compress(coded))
-        return found
+        if kind == PHRASE and word not in self.phrases or kind < PHRASE and word[:3] not in (self.inner if kind else self.starts):
+            return 0
+        plain, toxic = self._compressors()
+        coded = window(word, kind=kind)
+        return len(plain.compress(coded)) - len(toxic.compress(coded))
+
+    def _seen(self, token: bytes) -> tuple[dict[bytes, int], bytes] | None:
+        """The token's windows that have a gain, and its core if a phrase starts
+        with that, else nothing; None if neither is there."""
+        if self._any is None:
+            self._any = re.compile(b"|".join(map(re.escape, sorted(self.starts | self.inner))) or rb"(?!)")
+        core = core_of(token) if self.firsts else b""
+        core = core if core in self.firsts else b""
+        gains: dict[bytes, int] = {}
+        # No window of a token without any piece's first three bytes has a gain.
+        if self._any.search(token):
+            for k in starts_of(token):
+                own = token[k : k + LONGEST]
+                gains[own] = max(gains.get(own, 0), self.gain(own))
+            for k in range(len(token) - 2):
+                if token[k : k + 3] in self.inner:
+                    own = token[k : k + LONGEST]
+                    gains[own] = max(gains.get(own, 0), self.gain(own, INNER))
+        gains = {w: g for w, g in gains.items() if g > 0}
+        return (gains, core) if gains or core else None
+
+    def gains(self, text: bytes) -> tuple[dict[bytes, int], int]:
+        """The text's distinct windows that have a gain, and how many tokens it
+        has (a long one counts once for every ``LONGEST`` bytes)."""
+        if len(self._cache) + len(self._bare) > WINDOW_CACHE:
+            self._cache.clear()
+            self._bare.clear()
+        row = text.lower().split()
+        words = set(row)
+        out: dict[bytes, int] = {}
+        hot: dict[bytes, bytes] = {}
+        n = len(words)
+        # Tokens known to have neither gain nor phrase are passed over.
+        for w in words - self._bare:
+            n += (len(w) - 1) // LONGEST
+            found = self._cache.get(w) or (self._seen(w) if self.toxic else None)
+            if found is None:
+                if len(w) <= LONGEST:
+                    self._bare.add(w)
+                continue
+            if len(w) <= LONGEST:
+                self._cache[w] = found
+            for x, g in found[0].items():
+                out[x] = max(out.get(x, 0), g)
+            if found[1]:
+                hot[w] = found[1]
+        if hot:
+            for a, b in zip(row, row[1:]):
+                if a in hot:
+                    pair = hot[a] + b" " + core_of(b)
+                    if pair not in out and (g := self.gain(pair, PHRASE)) > 0:
+                        out[pair] = g
+        return out, n
 
     def features(self, text: bytes) -> list[float]:
-        """How many distinct windows reach each gain, and how many there are."""
-        if len(self._cache) > WINDOW_CACHE:
-            self._cache.clear()
-        words = words_of(text)
-        gains = [g for g in map(self.gain, words) if g > 0] if self.toxic else []
-        return [log1p(sum(g >= least for g in gains)) for least in GAINS] + [log1p(len(words)) / 10]
+        """How many distinct windows reach each gain, and how many tokens there are."""
+        found, n = self.gains(text)
+        return [log1p(sum(g >= least for g in found.values())) for least in GAINS] + [log1p(n) / 10]
 
     def score(self, text: bytes) -> float:
         z = self.bias + sum(w * x for w, x in zip(self.weights, self.features(text), strict=True))
@@ -219,12 +393,21 @@ def train(dictionary: list[tuple[bytes, int]], calibration: list[tuple[bytes, in
     model = Model(bias=log(share / (1 - share)) if 0 < share < 1 else 30.0 if share else -30.0)
     if not toxic or not plain or not 0 < share < 1:
         return model
-    model.ordinary = _ordinary_strings(plain)
-    pieces = _toxic_pieces(toxic, plain)
-    if not pieces:
+    outer_t, outer_o = _outer(toxic), _outer(plain)
+    pieces = _toxic_pieces(outer_t, outer_o)
+    inner, common = _inner_pieces(toxic, plain)
+    phrases = _phrases(toxic, plain, pieces, inner)[:TOXIC_PIECES]
+    if not pieces and not inner and not phrases:
         return model
-    model.toxic = model.ordinary + b"".join(window(s, end=False) for s in reversed(pieces))
+    # Both dictionaries hold the pieces' first two bytes: less than three can't tell.
+    heads = [window(x, False, kind) for kind, own in ((OUTER, pieces), (INNER, inner)) for x in sorted({s[:2] for s in own})]
+    model.ordinary = b"".join(
+        [*(window(s.split(b" ")[0] + b" ", False, PHRASE) for s in phrases), *(window(s, False, INNER) for s in common), _ordinary_strings(outer_o), *heads])
+    model.toxic = model.ordinary + b"".join(
+        [*(window(s, True, PHRASE) for s in phrases), *(window(s, False, INNER) for s in inner), *(window(s, False) for s in reversed(pieces))])
     model.starts = frozenset(s[:3] for s in pieces)
+    model.inner = frozenset(s[:3] for s in inner)
+    model.phrases, model.firsts = frozenset(phrases), frozenset(s.split(b" ")[0] for s in phrases)
     calibration = calibration or dictionary
     x = np.array([model.features(t) for t, _ in calibration])
     model.weights, model.bias = _logistic(x, np.array([y for _, y in calibration], dtype=np.float64))
