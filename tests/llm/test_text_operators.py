@@ -62,6 +62,22 @@ def test_main_text():
     assert html.main_text("<article><p>x</p><p>y</p></article><div class=related>z</div><article class=comment>no</article>") == "x\ny"
 
 
+def test_articles_below_what_looks_aside():
+    body = "<article><h1>T</h1><p>First words of it.</p></article>"
+    want = "T\nFirst words of it."
+    assert html.main_text(f"<html><head><title>x</title><meta name=a><body>{body}</body></html>") == want
+    assert html.main_text(f"<html><head><title>x</title>{body}") == want
+    assert html.main_text("<head><title>x</title>bare text") == "bare text"
+    assert html.main_text(f"<body><form id=aspnetForm action=x><div>{body}</div><input></form></body>") == want
+    for wrap in ("class='layout sidebar-right'", "id='modal-wrap'"):
+        assert html.main_text(f"<body><div>Site</div><div {wrap}>{body}<aside>Side</aside></div></body>") == want
+    assert html.main_text("<form><div id=content><p>Some text.</p></div></form>") == "Some text."
+    # What is aside in earnest stays so.
+    assert html.main_text(f"{body}<div class=sidebar><article>Newest</article></div><div class=related><article>{want * 9}</article></div>") == want
+    assert html.main_text(f"<div hidden>{body}</div><aside>{body}</aside><div class=layout-sidebar><article class=teaser>t</article></div>") == ""
+    assert html.main_text(f"<form class=comment-form>{body}</form><form><article>A<div class=ad>buy</div></article></form>") == "A"
+
+
 def test_pages(spark):
     schema = "page_id long, url string, html string, text string"
     rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, None), (2, None, None, None), (3, "v", "<p>" + "word " * 100_000, None)]

@@ -11,6 +11,12 @@ ends where it dives to zero.  Lines of the segments are the text; if the page
 marks an article (else a main part, by element, role or a usual class or id),
 only its lines count, and any of its lines is a surge.
 
+A form around an article or main element doesn't void it.  A wrapper whose class
+or id has a word of layout (such as sidebar-right or modal-wrap), and a form around
+a part marked by its name, doesn't either where that part has more text than all
+else that counts.  What is within an aside, nav or footer element, is hidden, or
+stands among adverts, comments or related pages stays aside.
+
 Cases: a null or empty html, and a page without text, give an empty string;
 tags, quotes and comments that never end are closed by the end of the page;
 repeated rows are extracted each for itself; an empty table gives an empty
@@ -54,8 +60,14 @@ MAIN_NAMES = frozenset(
     "story-body page-content body-content".split())
 #: Of these, what an article can be that isn't the page's own.
 REPLIES = frozenset("ad ads advert advertisement sponsored promo comment reply related recommended teaser".split())
+#: What is around a part: nothing aside, an aside, a form, a wrapper by its words,
+#: or such a wrapper around a marked part.
+CLEAR, ASIDE, FORM, WRAPPER, CONTESTED = range(5)
 #: A class such as has-sidebar or no-comments is about another element.
 NEGATED = frozenset("has no with without".split())
+#: Words of wrappers that may hold the main part nevertheless.
+LAYOUT = frozenset("banner banners nav navbar navigation menu menus masthead footer sidebar sidebars aside alert modal overlay share sharing social toolbar topbar skip notice notices form".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSES_P = BLOCKS - {"caption", "dd", "dt", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html"}
 
 _TAG = re.compile(
@@ -65,37 +77,55 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def _aside(tag: str, attrs: str, inside: int) -> tuple[bool, int]:
-    """Whether the element is none of the main text; 2 for an article, 1 for
-    another main part, else 0."""
-    if tag in DROPPED or tag == "header" and not inside:
-        return True, 0
+def _aside(tag: str, attrs: str, inside: int) -> tuple[int, int]:
+    """Whether the element is none of the main text, and if so how (``ASIDE``,
+    ``FORM``, ``WRAPPER``); 2 for an article, 1 for another main part, else 0."""
+    if tag in DROPPED and tag != "form" or tag == "header" and not inside:
+        return ASIDE, 0
+    if tag == "form":
+        own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
+        words = set(_SPLIT.split(f"{own.get('class', '')} {own.get('id', '')}".lower()))
+        hidden = "hidden" in own or own.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(own.get("style", "").lower())
+        plain = not words & (WORDS - LAYOUT) and own.get("role", "form").strip().lower() not in ROLES - {"form"}
+        return (FORM if plain and not hidden else ASIDE), 0
     main = 2 if tag == "article" else 1 if tag == "main" else 0
     named = REPLIES if main else WORDS
     if not attrs or attrs == "/":
-        return False, main
+        return CLEAR, main
     own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     role = own.get("role", "").strip().lower()
     if role in ROLES or "hidden" in own or own.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(own.get("style", "").lower()):
-        return True, 0
+        return ASIDE, 0
     if tag not in ("html", "body"):
         words = set(_SPLIT.split(f"{own.get('class', '')} {own.get('id', '')}".lower()))
-        if words & named and not words & NEGATED or "header" in words and not inside and not main:
-            return True, 0
+        found = words & named if not words & NEGATED else set()
+        if found or "header" in words and not inside and not main:
+            return (WRAPPER if found <= LAYOUT and not main else ASIDE), 0
         if tag in ("div", "section", "td") and not MAIN_NAMES.isdisjoint(f"{own.get('class', '')} {own.get('id', '')}".lower().split()):
             main = 1
     if role in ("main", "article") or own.get("itemprop") == "articleBody":
         main = max(main, 1 if role == "main" else 2)
-    return False, main
+    return CLEAR, main
+
 
+def _around(state: int, tag: str, other: int, part: int) -> int:
+    """What is around an element's content, from what is around the element."""
+    if state == ASIDE or other == ASIDE or other and state == CONTESTED:
+        return ASIDE
+    if other:
+        return max(state, other)
+    if part and state == FORM:
+        return CLEAR if tag in ("article", "main") else CONTESTED
+    return CONTESTED if part and state == WRAPPER else state
 
-def lines_of(html: str) -> list[tuple[str, bool, int, int]]:
-    """(text, whether it is aside, main part it is in, linked characters) of
-    each block's text in page order."""
-    out: list[tuple[str, bool, int, int]] = []
-    stack: list[tuple[str, bool, int]] = []
+
+def lines_of(html: str) -> list[tuple[str, int, int, int]]:
+    """(text, what is around it, main part it is in, linked characters) of each
+    block's text in page order."""
+    out: list[tuple[str, int, int, int]] = []
+    stack: list[tuple[str, int, int, int]] = []
     parts: list[str] = []
-    aside = main = linked = 0
+    main = linked = 0
 
     def flush() -> None:
         nonlocal linked
@@ -103,14 +133,12 @@ def lines_of(html: str) -> list[tuple[str, bool, int, int]]:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, aside > 0, main, linked))
+                out.append((text, stack[-1][3] if stack else CLEAR, main, linked))
         linked = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal aside, main
-        del_ = stack[depth:]
+        nonlocal main
         del stack[depth:]
-        aside -= sum(x[1] for x in del_)
         main = max((x[2] for x in stack), default=0)
 
     at, links = 0, 0
@@ -118,6 +146,10 @@ def lines_of(html: str) -> list[tuple[str, bool, int, int]]:
         m = _TAG.search(html, at)
         piece = html[at : m.start() if m else len(html)]
         if piece:
+            # Text ends a head that has no end tag, and so does a tag of the body.
+            if stack and stack[-1][0] == "head" and piece.strip():
+                flush()
+                pop_to(len(stack) - 1)
             parts.append(piece)
             if links:
                 linked += len(piece)
@@ -139,6 +171,11 @@ def lines_of(html: str) -> list[tuple[str, bool, int, int]]:
                 flush()
             continue
         attrs = m[3] if m[2] else m[6]
+        if tag == "head" and any(x[0] != "html" for x in stack):
+            continue
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            flush()
+            pop_to(len(stack) - 1)
         if tag == "br":
             parts.append(" ")
             continue
@@ -162,15 +199,25 @@ def lines_of(html: str) -> list[tuple[str, bool, int, int]]:
             continue
         if tag == "a":
             links = 1
-        stack.append((tag, other, part))
-        aside += other
+        stack.append((tag, other, part, _around(stack[-1][3] if stack else CLEAR, tag, other, part)))
         main = max(main, part)
     flush()
     return out
 
 
+def _settled(lines: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """The lines with contested ones told to be clear or aside."""
+    contested = sum(len(x[0]) for x in lines if x[1] == CONTESTED)
+    if contested:
+        best = max((m for _, other, m, _ in lines if not other), default=0)
+        clear = sum(len(text) for text, other, m, linked in lines if not other and m >= best and (best or linked <= LINKED * len(text)))
+        now = CLEAR if contested > clear else ASIDE
+        lines = [(text, now if other == CONTESTED else other, m, linked) for text, other, m, linked in lines]
+    return lines
+
+
 def main_text(html: str | None) -> str:
-    lines = lines_of(html or "")
+    lines = _settled(lines_of(html or ""))
     marked = max((m for _, other, m, _ in lines if not other), default=0)
     sizes: list[int] = []
     owner: list[int] = []
