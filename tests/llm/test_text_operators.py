@@ -78,6 +78,16 @@ def test_articles_below_what_looks_aside():
     assert html.main_text(f"<form class=comment-form>{body}</form><form><article>A<div class=ad>buy</div></article></form>") == "A"
 
 
+def test_asides_part_lines_but_lose_no_main_text():
+    long, ad = "Plain words of the story. " * 24, "<div class=ad>Buy this</div>"
+    want = long.strip()
+    assert html.main_text(f"<h1>Short title</h1>{ad}<p>{long}</p>") == f"Short title\n{want}"
+    assert html.main_text(f"<div><p>{long}</p>{ad}<p>A closing paragraph of about forty signs.</p></div>") == f"{want}\nA closing paragraph of about forty signs."
+    assert html.main_text(f"<p>{long}</p>{ad}<p>Short.</p>{ad}<h2>Next</h2>{ad}<p>{long}</p>") == f"{want}\nShort.\nNext\n{want}"
+    assert html.main_text(f"<div><h1>Title</h1></div>{ad}<div><p>{long}</p></div>{ad}<div>Imprint</div>") == f"Title\n{want}"
+    assert html.main_text(f"<p>{long}</p><footer>Foot</footer><p>Below</p>") == want
+
+
 def test_pages(spark):
     schema = "page_id long, url string, html string, text string"
     rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, None), (2, None, None, None), (3, "v", "<p>" + "word " * 100_000, None)]

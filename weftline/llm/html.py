@@ -11,6 +11,11 @@ ends where it dives to zero.  Lines of the segments are the text; if the page
 marks an article (else a main part, by element, role or a usual class or id),
 only its lines count, and any of its lines is a surge.
 
+What is aside parts lines but loses no main text: without a marked part, all lines
+between the first surge and the last dive are text, and so are, before and after,
+the headings next to them and the lines of the same parent, up to a menu or a page
+footer.
+
 A form around an article or main element doesn't void it.  A wrapper whose class
 or id has a word of layout (such as sidebar-right or modal-wrap), and a form around
 a part marked by its name, doesn't either where that part has more text than all
@@ -28,6 +33,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -67,6 +73,9 @@ CLEAR, ASIDE, FORM, WRAPPER, CONTESTED = range(5)
 NEGATED = frozenset("has no with without".split())
 #: Words of wrappers that may hold the main part nevertheless.
 LAYOUT = frozenset("banner banners nav navbar navigation menu menus masthead footer sidebar sidebars aside alert modal overlay share sharing social toolbar topbar skip notice notices form".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that hold a line each.
+SINGLE = HEADINGS | frozenset("p li pre blockquote dd dt figcaption caption td th address summary".split())
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSES_P = BLOCKS - {"caption", "dd", "dt", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html"}
 
@@ -119,11 +128,23 @@ def _around(state: int, tag: str, other: int, part: int) -> int:
     return CONTESTED if part and state == WRAPPER else state
 
 
-def lines_of(html: str) -> list[tuple[str, int, int, int]]:
-    """(text, what is around it, main part it is in, linked characters) of each
-    block's text in page order."""
-    out: list[tuple[str, int, int, int]] = []
-    stack: list[tuple[str, int, int, int]] = []
+class Line(NamedTuple):
+    text: str
+    #: What is around it, the main part it is in and its linked characters.
+    aside: int
+    main: int
+    linked: int
+    #: Its block's tag, the number of that block's parent; whether it is in a footer.
+    tag: str
+    parent: int
+    footer: bool
+
+
+def lines_of(html: str) -> list[Line]:
+    """Each block's text in page order."""
+    out: list[Line] = []
+    stack: list[tuple[str, int, int, int, int]] = []
+    serial = 0
     parts: list[str] = []
     main = linked = 0
 
@@ -133,7 +154,13 @@ def lines_of(html: str) -> list[tuple[str, int, int, int]]:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, stack[-1][3] if stack else CLEAR, main, linked))
+                blocks = [x for x in stack if x[0] in BLOCKS]
+                # Bare text stands beside the blocks of the element it is in.
+                own = blocks[-1] if blocks else ("", 0, 0, 0, 0)
+                alone = own[0] in SINGLE
+                out.append(Line(
+                    text, stack[-1][3] if stack else CLEAR, main, linked, own[0] if alone else "",
+                    (blocks[-2][4] if len(blocks) > 1 else 0) if alone else own[4], any(x[0] == "footer" for x in blocks)))
         linked = 0
 
     def pop_to(depth: int) -> None:
@@ -199,34 +226,54 @@ def lines_of(html: str) -> list[tuple[str, int, int, int]]:
             continue
         if tag == "a":
             links = 1
-        stack.append((tag, other, part, _around(stack[-1][3] if stack else CLEAR, tag, other, part)))
+        serial += 1
+        stack.append((tag, other, part, _around(stack[-1][3] if stack else CLEAR, tag, other, part), serial))
         main = max(main, part)
     flush()
     return out
 
 
-def _settled(lines: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+def _settled(lines: list[Line]) -> list[Line]:
     """The lines with contested ones told to be clear or aside."""
-    contested = sum(len(x[0]) for x in lines if x[1] == CONTESTED)
+    contested = sum(len(x.text) for x in lines if x.aside == CONTESTED)
     if contested:
-        best = max((m for _, other, m, _ in lines if not other), default=0)
-        clear = sum(len(text) for text, other, m, linked in lines if not other and m >= best and (best or linked <= LINKED * len(text)))
+        best = max((x.main for x in lines if not x.aside), default=0)
+        clear = sum(len(x.text) for x in lines if not x.aside and x.main >= best and (best or x.linked <= LINKED * len(x.text)))
         now = CLEAR if contested > clear else ASIDE
-        lines = [(text, now if other == CONTESTED else other, m, linked) for text, other, m, linked in lines]
+        lines = [x._replace(aside=now) if x.aside == CONTESTED else x for x in lines]
     return lines
 
 
+def _widened(lines: list[Line], kept: list[bool], chosen: list[int]) -> list[int]:
+    """The lines that belong to the region of those chosen by surge and dive."""
+    first, last = chosen[0], chosen[-1]
+    parents = {lines[k].parent for k in chosen}
+    out = [k for k in range(first, last + 1) if kept[k]]
+    for way in (range(first - 1, -1, -1), range(last + 1, len(lines))):
+        for k in way:
+            x = lines[k]
+            if x.aside and not x.footer:
+                continue
+            heading = x.tag in HEADINGS and k < first
+            if not kept[k] or not (heading or x.tag and x.parent in parents):
+                break
+            out.append(k)
+    return sorted(out)
+
+
 def main_text(html: str | None) -> str:
     lines = _settled(lines_of(html or ""))
-    marked = max((m for _, other, m, _ in lines if not other), default=0)
+    marked = max((x.main for x in lines if not x.aside), default=0)
     sizes: list[int] = []
     owner: list[int] = []
-    for k, (text, other, part, linked) in enumerate(lines):
-        menu = not marked and linked > LINKED * len(text)
-        kept = not other and not menu and part >= marked
+    keep: list[bool] = []
+    for k, x in enumerate(lines):
+        menu = not marked and x.linked > LINKED * len(x.text)
+        kept = not x.aside and not menu and x.main >= marked
         # What is aside parts the lines around it: a run of empty lines.
-        sizes += [len(text)] if kept else [0] * WINDOW
+        sizes += [len(x.text)] if kept else [0] * WINDOW
         owner += [k] if kept else [k] * WINDOW
+        keep.append(kept)
     window = [sum(sizes[k : k + WINDOW]) for k in range(len(sizes))]
     surge = min(SURGE_CHARS, SURGE_PART * max(window, default=0))
     chosen, inside = [], False
@@ -236,8 +283,10 @@ def main_text(html: str | None) -> str:
         elif inside and not window[k]:
             inside = False
         if inside and size:
-            chosen.append(lines[owner[k]][0])
-    return "\n".join(chosen)
+            chosen.append(owner[k])
+    if chosen and not marked:
+        chosen = _widened(lines, keep, chosen)
+    return "\n".join(lines[k].text for k in chosen)
 
 
 def extract(pages: DataFrame) -> DataFrame:
