@@ -122,6 +122,19 @@ def test_streams(spark, tmp_path):
     assert max(r.n for r in spark.read.parquet(out3).collect()) == 6
 
 
+def test_sliding_log_is_exact(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = events(spark, [5, 34, 64, 65, 100, 200])
+    for k in range(0, 6, 2):  # a trigger for each two rows
+        rows.where(F.col("event_id").between(k, k + 1)).coalesce(1).write.mode("append").parquet(source)
+    stream = live.read_stream(spark, source, EVENTS)
+    live.run_once(live.sliding_log(stream, "k", 2), "append", lambda b, _: b.write.mode("append").parquet(out), str(tmp_path / "c"))
+    got = {r.event_id: (r.in_window, r.exceeded) for r in spark.read.parquet(out).collect()}
+    assert got == {0: (1, False), 1: (2, False), 2: (3, True), 3: (4, True), 4: (3, True), 5: (1, False)}
+    batch = live.usage.sliding_window(spark.read.parquet(source), "k", 2).collect()
+    assert got == {r.event_id: (r.in_window, not r.allowed) for r in batch}
+
+
 def test_records(spark):
     rows = spark.createDataFrame([(1, "A b", 1.0), (2, "a B ", 1.004), (3, "c", None)], "id long, name string, price double")
     assert [r.id for r in records.deduplicate(rows, ["name", "price"], "id").orderBy("id").collect()] == [1, 3]
