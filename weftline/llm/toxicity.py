@@ -184,10 +184,10 @@ def _toxic_pieces(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[b
     return sorted(stems, key=lambda s: (-good[s], s)) + [w + b"\0" for w in under[:TOXIC_PIECES]]
 
 
-def _telling(in_t: Counter, in_o: Counter, n_t: int, n_o: int) -> dict[bytes, float]:
+def _telling(in_t: Counter, in_o: Counter, n_t: int, n_o: int, tried: int) -> dict[bytes, float]:
     """Those that toxic texts have eight times as often and that chance (Chernoff's
     bound, for as many as were tried) doesn't give, with their evidence."""
-    least, share, out = log(max(1, len(in_t))) + 3, n_t / (n_t + n_o), {}
+    least, share, out = log(max(1, tried)) + 3, n_t / (n_t + n_o), {}
     for s, t in in_t.items():
         o = in_o[s]
         evidence = t * log(t / ((t + o) * share)) + (o * log(o / ((t + o) * (1 - share))) if o else 0)
@@ -211,8 +211,8 @@ def _inner_pieces(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tupl
     for w, n in Counter(w for row in toxic for w in set(row)).items():
         for s in _inside(w):
             most[s] += n
+    tried = len(most)
     low = {s for s, n in most.items() if n < 3}
-    tried = len(most) - len(low)
     for s in low:
         del most[s]
     held: dict[bytes, int] = {}
@@ -233,7 +233,7 @@ def _inner_pieces(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tupl
         return found
 
     in_t = counted(toxic, left)
-    told = _telling(in_t, counted(ordinary, in_t.keys()), n_t, n_o)
+    told = _telling(in_t, counted(ordinary, in_t.keys()), n_t, n_o, tried)
     # Of strings within one another the one that has nearly all texts stays.
     whole = set()
     for s in told:
@@ -255,11 +255,12 @@ def _phrases(toxic: list[list[bytes]], ordinary: list[list[bytes]], pieces: list
     in_t: Counter = Counter()
     for row in toxic:
         in_t.update(_pairs(row, cores))
+    tried = len(in_t)
     in_t = Counter({s: n for s, n in in_t.items() if n >= 3})
     in_o: Counter = Counter()
     for row in ordinary:
         in_o.update(_pairs(row, cores) & in_t.keys())
-    told = _telling(in_t, in_o, len(toxic), len(ordinary))
+    told = _telling(in_t, in_o, len(toxic), len(ordinary), tried)
     plain = {s for s in told if not any(w.startswith(tuple(pieces)) for w in s.split(b" ")) and not any(x in s for x in inner)}
     return sorted(plain, key=lambda s: (-told[s], s))
 
