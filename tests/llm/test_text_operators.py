@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -134,20 +136,61 @@ def test_toxicity_learns_nothing_from_held_out_labels(spark):
     d = spark.createDataFrame(docs, DOCS)
     flipped = [(k, q, 1 - t if zlib.crc32(str(k).encode()) % 5 == 0 else t) for k, q, t in labels]
     a, b = (toxicity.fit(d, spark.createDataFrame(y, LABELS)) for y in (labels, flipped))
-    assert (a.weights, a.bias, a.toxic) == (b.weights, b.bias, b.toxic)
+    assert (a.weights, a.bias, a.common, a.ordinary, a.toxic) == (b.weights, b.bias, b.common, b.ordinary, b.toxic)
+
+
+def coded(run):
+    """Each byte of a run and the print of the run's beginning up to it, one by one."""
+    out, h = b"", 0
+    for byte in run:
+        h = (h * 0x9E3779B1 + byte + 1) & 0xFFFFFFFF
+        h ^= h >> 15
+        out += (byte | (h * 0x85EBCA6B & 0xFFFFFF00)).to_bytes(4, "little")
+    return out
+
+
+def saved(model, window):
+    plain, toxic = model.sides()
+    return len(plain.compress(window)) - len(toxic.compress(window))
+
+
+def test_toxicity_against_brute_force():
+    docs, labels = labelled(700, 4)
+    rows = [(text.encode(), y) for (_, text, *_), (_, _, y) in zip(docs, labels)]
+    model = toxicity.train(rows[:500], rows[500:])
+    assert model.toxic and len(model.toxic) >= len(model.ordinary) > 0
+    mixed = rows[0][0] + b" (Vermin, scoundrel-like grumblewick!\n\xc3\xa9t\xc3\xa9 " + b"x" * 70 + b" vermin"
+    for text in (*(t for t, _ in rows[:20]), mixed, b"one", b"", b"  \t"):
+        words = [w[k : k + 32] for w in text.lower().split() for k in range(0, len(w), 32)]
+        content, begin, end = toxicity.wide(text)
+        assert len(begin) == len(words)
+        for w, i, j in zip(words, begin, end):
+            runs = re.findall(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]", w)
+            assert content[i:j] == b"".join(coded(r) if r[0] >= 128 or r.isalnum() else bytes([r[0], 0, 0, 0]) for r in runs)
+        starts = range(0, max(len(words) - 1, min(1, len(words))), 2)
+        want = [saved(model, content[begin[k] : end[min(k + 2, len(words) - 1)]]) for k in starts]
+        assert model.gains(text).tolist() == want
+        long = sorted(set(re.findall(rb"[0-9a-z\x80-\xff]{9,}", text.lower())))
+        inner = []
+        for r in long:
+            at = [n for n in range(1, len(r) - 3) if r[n] & 0xC0 != 0x80]
+            inner.append(max([0, *(saved(model, coded(r[n : n + 16])) for n in at)]))
+        assert sorted(model.inner_gains(text).tolist()) == sorted(inner)
+        x = [math.log1p(sum(g >= n for g in want)) for n in toxicity.GAINS] + [math.log1p(sum(g >= n for g in inner)) for n in toxicity.INNER_GAINS]
+        z = model.bias + sum(w * v for w, v in zip(model.weights, [*x, math.log1p(len(want)) / 10], strict=True))
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
 
 
 def test_toxic_terms_are_seen_wherever_they_stand():
     docs, labels = labelled(1500, 3)
     rows = [(text.encode(), y) for (_, text, *_), (_, _, y) in zip(docs, labels)]
     model = toxicity.train(rows[:1000], rows[1000:])
-    alone = model.gains(b"scoundrel")[0][b"scoundrel"]
-    assert alone > 0
-    for text in ['"scoundrel"', "(scoundrel", "*scoundrel*", "you-scoundrel", "l'scoundrel", "l\u2019scoundrel", "\u201escoundrel\u201c", "_scoundrel", "ollscoundrel"]:
-        found = model.gains(text.encode())[0]
-        assert max(found.values(), default=0) >= alone - 2, text
-    spaceless = ("\u6f22\u5b57" * 51 + "scoundrel" + "\u6f22\u5b57" * 30).encode()
-    assert max(model.gains(spaceless)[0].values()) >= 3
+    alone = model.gains(b"scoundrel").max()
+    assert alone > 8
+    for text in ['"scoundrel"', "(scoundrel", "*scoundrel*", "you-scoundrel", "l'scoundrel", "l\u2019scoundrel", "\u201escoundrel\u201c", "_scoundrel"]:
+        assert model.gains(text.encode()).max() >= alone / 2, text
+    assert model.inner_gains(b"volscoundrel").max() >= alone / 2
+    assert model.inner_gains(("\u6f22\u5b57" * 51 + "scoundrel" + "\u6f22\u5b57" * 30).encode()).max() >= alone / 3
     plain = "the garden window paper and a letter of music in winter light baren losta miver tukin"
     clean, bad = model.score(plain.encode()), model.score((plain + ' (scoundrel, "wretched" and you-vermin').encode())
     assert clean < 0.5 < bad
@@ -178,7 +221,6 @@ def test_toxic_phrases_of_ordinary_words():
             text[at:at] = ["go", "away"]
         rows.append((" ".join(text).encode(), int(k % 3 == 0)))
     model = toxicity.train(rows[:300], rows[300:450])
-    assert b"go away" in model.phrases
     assert sum((model.score(t) >= 0.5) == bool(y) for t, y in rows[450:]) >= 145
 
 

@@ -1,34 +1,40 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on toxic
-text.  The ordinary one holds the beginnings that ordinary words have.  The toxic
-one holds the same and, after them, the words and beginnings that toxic
-documents have far more often than ordinary ones.  Windows of a token (what
-stands between white space) start at its first byte, at every word after
-punctuation, an apostrophe or a hyphen, and, as inner windows, at every other
-character, so that compounds and text without spaces are seen; each goes on to
-the token's end, for ``LONGEST`` bytes at most.  Two neighbouring words that toxic
-documents have far more often are a window, too.  Each byte of a window is written
-together with those before it, as a print of ``CODE`` bytes, so that a match means
-the same beginning and saves more than it costs.  Prints of inner windows and of
-phrases differ from those of beginnings: what tells as a word's beginning may be
-a common syllable inside words, so inner pieces are counted over all windows.  The
-bytes that the toxic dictionary saves on a window are its gain.  As the
-dictionaries agree in all else, gains of ordinary windows are mostly nought.
-
-A document's distinct windows are counted by their gain; thresholds of the gain
-and the weights of the counts are calibrated by logistic regression on labelled
-rows that no dictionary has seen.  Only texts make a score.
+zstandard trains three dictionaries: one of what all ordinary text has in common,
+one on toxic and one on ordinary windows, of equal size.  A side compresses with
+its own dictionary and the common one.  Every window of ``WORDS`` neighbouring
+words of a text is compressed by both sides, whatever it holds; how many bytes
+fewer the toxic side needs is the window's gain.  Windows start at every word; a
+word longer than ``LONGEST`` bytes is cut.  Words of ``INNER_FROM`` bytes or more
+are read again from each of their characters on, so that compounds and text
+without spaces are seen (inner windows).
+
+A match costs zstandard three to four bytes, as much as a short word has, so
+text is written wide: each byte of a run of letters or digits as itself and three
+bytes that print the run's beginning up to it; the space between two words as a
+print of both, so that phrases tell, too.  Dictionaries and windows are written
+alike.
+
+A toxic label speaks of a document of which few words are toxic.  The toxic side is
+therefore trained on those windows of toxic texts that hold a string (beginning of
+a word, inner string or pair of words) toxic texts have far more often than
+ordinary ones; that choice is of training text only and decides no score.
+
+A document's windows are counted by their gain; thresholds of the gain and the
+weights of the counts are calibrated by logistic regression on labelled rows that
+no dictionary has seen, a toxic row counting as ``TOXIC_WEIGHT``.  Only texts make
+a score.
 
 Learning uses a bounded sample of labelled rows (``SAMPLE`` by class and part,
 of at most ``SAMPLE_BYTES`` each, chosen by hash); scoring covers every window of
 every text.  Sampled texts that nearly repeat one already taken are left out, so
 that copies don't pass for evidence.
 
-Cases: a null or empty text is scored with no windows; a token of any length has
-windows at all its characters; without labels of both classes all
+Cases: a null or empty text is scored with no windows; a word of any length has
+windows throughout; without labels of both classes all
 scores are the share of toxic labels (0 without any); repeated rows get equal
-scores; an empty table gives an empty result; other columns are ignored.
+scores; a row without id isn't held out; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,16 +56,23 @@ from weftline.functions.pages import spread
 #: Labelled rows by class for the dictionaries and, again, for the calibration.
 SAMPLE = 1500
 SAMPLE_BYTES = 20_000
-ORDINARY_BYTES = 96 * 1024
-TOXIC_PIECES = 700
-LONGEST = 64
-LEVEL = 16
+#: Bytes of the common dictionary and, at most, of each side's own.
+COMMON_BYTES, OWN_BYTES = 96 * 1024, 24 * 1024
+WORDS, STEP = 3, 2
+LONGEST = 32
+INNER_FROM, INNER_BYTES = 9, 16
+LEVEL = 3
 #: Least gains, in bytes, of the classes by which windows are counted.
-GAINS = (1, 3, 5, 7, 9, 12)
-WINDOW_CACHE = 150_000
-
-#: Where prints start from: windows at beginnings of words, inner ones, phrases.
-OUTER, INNER, PHRASE = 0, 1, 2
+GAINS = (2, 4, 6, 8, 10, 13, 17)
+INNER_GAINS = (4, 8, 13, 20)
+TOXIC_WEIGHT = 3.0
+#: Windows compressed at once, and words whose inner gains are remembered.
+CHUNK, WORD_CACHE = 20_000, 150_000
+PHRASES = 700
+
+#: Bytes that end a run: all ASCII but lower-case letters and digits.
+_BREAK = np.ones(256, dtype=bool)
+_BREAK[128:] = _BREAK[48:58] = _BREAK[97:123] = False
 _ASCII_WORD = re.compile(rb"(?<=[^0-9a-z])[0-9a-z]")
 _WORD = re.compile(r"(?<=[\W_])[^\W_]")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -109,18 +122,115 @@ def _distinct(texts: Iterable[bytes]) -> list[list[bytes]]:
     return out
 
 
-CODE = 3
+def _prints(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each byte of the runs a word of 32 bits: the byte and a print of the
+    run's beginning up to it.  Bytes outside runs stand alone."""
+    out = flat.astype(np.uint32)
+    if not len(starts):
+        return out
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    h = np.zeros(len(starts), dtype=np.uint32)
+    for k in range(int(sizes[0])):
+        n = int(np.searchsorted(-sizes, -k))
+        at = starts[:n] + k
+        x = h[:n] * np.uint32(0x9E3779B1) + flat[at] + np.uint32(1)
+        h[:n] = x ^ (x >> np.uint32(15))
+        out[at] |= (h[:n] * np.uint32(0x85EBCA6B)) & np.uint32(0xFFFFFF00)
+    return out
+
 
+def _breaks(flat: np.ndarray) -> np.ndarray:
+    """Whether each byte is of punctuation: of ASCII, Latin-1, or the blocks of
+    general and of ideographic punctuation."""
+    out = _BREAK[flat]
+    if out.all() or flat.max() < 128:
+        return out
+    after = np.append(flat[1:], np.uint8(0))
+    lead = (flat == 0xC2) | (flat == 0xE2) & (after >> 1 == 0x40) | (flat == 0xE3) & (after == 0x80)
+    for k in range(3):
+        own = lead if k < 2 else lead & (flat != 0xC2)
+        out[k:] |= own[: len(flat) - k]
+    return out
+
+
+def wide(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The text as it is compressed, and where each of its words starts and ends
+    in that."""
+    flat = np.frombuffer(text.lower(), dtype=np.uint8)
+    space = (flat == 32) | (flat >= 9) & (flat <= 13)
+    at = np.flatnonzero(~space)
+    if not len(at):
+        return b"", at, at
+    flat = flat[at]
+    first = np.empty(len(at), dtype=bool)
+    first[0] = True
+    first[1:] = np.diff(at) > 1
+    starts = np.flatnonzero(first)
+    # Words are cut at every LONGEST bytes, runs at breaks, too.
+    inside = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+    first |= inside % LONGEST == 0
+    broken = _breaks(flat)
+    opens = first & ~broken
+    opens[1:] |= broken[:-1] & ~broken[1:]
+    runs = np.flatnonzero(opens)
+    closes = np.append(np.flatnonzero(first | broken), len(at))
+    ends = closes[np.searchsorted(closes, runs, side="right")]
+    letters = _prints(flat, runs, ends - runs)
+    words = np.flatnonzero(first)
+    number = np.cumsum(first) - 1
+    # A word's own print counts its letters only.
+    own = np.where(broken, 0, flat + np.uint32(1)).astype(np.uint32)
+    turn = np.cumsum(~broken)
+    turn -= (turn - ~broken)[words][number]
+    own *= _POWERS[turn % len(_POWERS)]
+    own = np.add.reduceat(own, words, dtype=np.uint32)
+    out = np.empty(len(at) + 2 * (len(words) - 1), dtype=np.uint32)
+    out[np.arange(len(at)) + 2 * number] = letters
+    joint = own[:-1] * np.uint32(0x9E3779B1) + own[1:] * np.uint32(0x7FEB352D)
+    joint ^= joint >> np.uint32(15)
+    gap = words[1:] + 2 * np.arange(len(words) - 1)
+    out[gap] = (joint * np.uint32(0x2C1B3C6D)) & np.uint32(0xFFFFFF00) | np.uint32(32)
+    out[gap + 1] = joint * np.uint32(0x297A2D39)
+    begin = 4 * (words + 2 * np.arange(len(words)))
+    return out.astype("<u4").tobytes(), begin, begin + 4 * np.diff(np.append(words, len(at)))
+
+
+_POWERS = np.cumprod(np.full(64, 0x01000193, dtype=np.uint32), dtype=np.uint32)
+
+
+def windows(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Offset and length of each window: ``WORDS`` words from every ``STEP``-th word
+    on, fewer at the text's end.  All neighbours share a window."""
+    first = np.arange(0, max(len(begin) - WORDS + STEP, min(1, len(begin))), STEP)
+    out = np.empty((len(first), 2), dtype=np.uint64)
+    out[:, 0] = begin[first]
+    out[:, 1] = end[np.minimum(first + WORDS - 1, len(end) - 1)] - begin[first]
+    return out
 
-def window(word: bytes, end: bool = True, kind: int = OUTER) -> bytes:
-    """``word`` as it is compressed: a print of each beginning; a zero byte
-    marks the word's end."""
-    out, h = bytearray(), kind
-    for b in word + b"\0" if end else word:
-        h = (h * 0x9E3779B1 + b + 1) & 0xFFFFFFFF
-        h ^= h >> 15
-        out += (h & 0xFFFFFF).to_bytes(CODE, "little")
-    return bytes(out)
+
+def inner_windows(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """What each word's inner windows are, written wide one after another: their
+    bytes, offset and length of each, and which word it is of."""
+    parts, of = [], []
+    for k, w in enumerate(words):
+        found = [w[n : n + INNER_BYTES] for n in range(1, len(w) - 3) if w[n] & 0xC0 != 0x80]
+        parts += found
+        of += [k] * len(found)
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    starts = np.cumsum(sizes) - sizes
+    flat = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    where = np.empty((len(parts), 2), dtype=np.uint64)
+    where[:, 0], where[:, 1] = 4 * starts, 4 * sizes
+    return _prints(flat, starts, sizes).astype("<u4").tobytes(), where, np.array(of, dtype=np.int64)
+
+
+def _runs(text: bytes) -> set[bytes]:
+    """The text's runs of letters and digits that have inner windows."""
+    return {r[k : k + 4 * LONGEST] for r in _RUN.findall(text.lower()) for k in range(0, len(r), 3 * LONGEST)}
+
+
+_RUN = re.compile(rb"[0-9a-z\x80-\xff]{%d,}" % INNER_FROM)
 
 
 def _outer(rows: list[list[bytes]]) -> list[set[bytes]]:
@@ -133,30 +243,8 @@ def _outer(rows: list[list[bytes]]) -> list[set[bytes]]:
     return [{x for w in set(row) for x in cuts[w]} for row in rows]
 
 
-def _ordinary_strings(sets: list[set[bytes]]) -> bytes:
-    """The beginnings that save most in ordinary words, most valuable last."""
-    found: Counter = Counter()
-    for words in sets:
-        own = set()
-        for w in words:
-            w += b"\0"
-            own.update(w[:n] for n in range(2, min(len(w), 14) + 1))
-        found.update(own)
-    pieces, size, held = [], 0, set()
-    for s, _ in sorted(((s, n) for s, n in found.items() if n >= 2), key=lambda x: (-x[1] * len(x[0]), x[0])):
-        if s in held:
-            continue
-        held.update(s[:n] for n in range(1, len(s) + 1))
-        pieces.append(window(s, False))
-        size += len(pieces[-1])
-        if size >= ORDINARY_BYTES:
-            break
-    return b"".join(reversed(pieces))
-
-
 def _toxic_pieces(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
-    """Beginnings of words, most telling first, then whole words (their end
-    marked) that begin like one of them."""
+    """Beginnings of words that tell, most telling first."""
 
     def beginnings(sets: list[set[bytes]], keep=None) -> Counter:
         found: Counter = Counter()
@@ -178,10 +266,7 @@ def _toxic_pieces(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[b
             longer[s[:-1]] = max(longer.get(s[:-1], 0), in_t[s])
     stems = {s for s in good if longer.get(s, 0) < 0.95 * in_t[s]}
     stems = {s for s in stems if not any(s[:k] in stems and 0.95 * in_t[s[:k]] > in_t[s] for k in range(3, len(s)))}
-    whole: Counter = Counter(w for words in toxic for w in words)
-    held = {w for words in ordinary for w in words}
-    under = [w for w, _ in whole.most_common() if w not in held and any(w[:k] in stems for k in range(3, len(w) + 1))]
-    return sorted(stems, key=lambda s: (-good[s], s)) + [w + b"\0" for w in under[:TOXIC_PIECES]]
+    return sorted(stems, key=lambda s: (-good[s], s))
 
 
 def _telling(in_t: Counter, in_o: Counter, n_t: int, n_o: int, tried: int) -> dict[bytes, float]:
@@ -202,9 +287,8 @@ def _inside(word: bytes, longest: int = 12) -> set[bytes]:
     return {word[k:n] for k in range(ends - 2) if word[k] & 0xC0 != 0x80 for n in range(k + 3, min(ends, k + longest) + 1)}
 
 
-def _inner_pieces(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[list[bytes], list[bytes]]:
-    """Strings that tell wherever they stand, most telling first, and the longest
-    of their beginnings that ordinary texts have, too."""
+def _inner_pieces(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """Strings that tell wherever they stand, most telling first."""
     n_t, n_o = len(toxic), len(ordinary)
     # Bounds from the counts of tokens leave few strings to count by text.
     most: Counter = Counter()
@@ -241,11 +325,7 @@ def _inner_pieces(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tupl
         whole.update(x for x in ends if x in told and in_t[s] >= 0.95 * in_t[x])
     stems = {s for s in told if s not in whole}
     stems = {s for s in stems if not any(s[a:b] in stems and 0.95 * in_t[s[a:b]] > in_t[s] for a in range(len(s) - 2) for b in range(a + 3, len(s) + (a > 0)))}
-    parts = {s[:k] for s in stems for k in range(1, len(s))}
-    tokens = b"\n".join(w for row in ordinary for w in set(row))
-    common = {p for p in parts if tokens.count(p) >= 2}
-    common = {p for p in common if not any(q != p and q.startswith(p) for q in common)}
-    return sorted(stems, key=lambda s: (-told[s], s)), sorted(common)
+    return sorted(stems, key=lambda s: (-told[s], s))
 
 
 def _phrases(toxic: list[list[bytes]], ordinary: list[list[bytes]], pieces: list[bytes], inner: list[bytes]) -> list[bytes]:
@@ -265,106 +345,125 @@ def _phrases(toxic: list[list[bytes]], ordinary: list[list[bytes]], pieces: list
     return sorted(plain, key=lambda s: (-told[s], s))
 
 
+def _telling_text(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """Of each toxic text the words that hold a telling string, from where it
+    starts on, each with the word after it, written wide."""
+    outer = _toxic_pieces(_outer(toxic), _outer(ordinary))
+    inner = _inner_pieces(toxic, ordinary)
+    pairs = set(_phrases(toxic, ordinary, outer, inner)[:PHRASES])
+    begins, within = tuple(outer), re.compile(b"|".join(map(re.escape, inner)) or rb"(?!)")
+    cores: dict[bytes, bytes] = {}
+    found: dict[bytes, int | None] = {}
+
+    def first(word: bytes) -> int | None:
+        at = next((k for k in starts_of(word) if word.startswith(begins, k)), None) if begins else None
+        if at is None and (m := within.search(word)):
+            at = m.start()
+        return at
+
+    out = []
+    for row in toxic:
+        own = []
+        for a, b in zip(row, [*row[1:], b""]):
+            if a not in found:
+                found[a] = first(a)
+            if found[a] is not None:
+                own.append(a[found[a] :] + b" " + b)
+            elif _pairs([a, b], cores) & pairs:
+                own.append(core_of(a) + b" " + core_of(b))
+        if own:
+            out.append(wide(b"\n".join(own))[0])
+    return out
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """The dictionary zstandard trains on the samples.  It may come out nearly
+    empty if its size is large for them, so smaller ones are tried as well and the
+    one with most content is taken; samples too few to train on are one themselves."""
+    best, whole = b"", sum(map(len, samples))
+    for shift in range(5):
+        for more in ({}, {"d": 8, "k": 48}, {"d": 8, "k": 96}):
+            if size >> shift <= whole and len(best) < size >> shift:
+                try:
+                    own = zstandard.train_dictionary(size >> shift, samples, **more).as_bytes()
+                except zstandard.ZstdError:
+                    continue
+                best = max(best, own, key=len)
+    return best or b"".join(samples)[:size]
+
+
 @dataclass
 class Model:
-    """Both dictionaries and the calibrated weights; a few hundred kilobytes at
-    most, whatever the corpus."""
+    """The dictionaries and the calibrated weights; at most some 150 KB, whatever
+    the corpus."""
 
+    common: bytes = b""
     ordinary: bytes = b""
     toxic: bytes = b""
-    starts: frozenset = frozenset()
-    inner: frozenset = frozenset()
-    phrases: frozenset = frozenset()
-    firsts: frozenset = frozenset()
-    weights: list[float] = field(default_factory=lambda: [0.0] * (len(GAINS) + 1))
+    weights: list[float] = field(default_factory=lambda: [0.0] * (len(GAINS) + len(INNER_GAINS) + 1))
     bias: float = -20.0
-    _cache: dict = field(default_factory=dict, repr=False)
-    _bare: set = field(default_factory=set, repr=False)
-    _any: re.Pattern | None = field(default=None, repr=False)
+    _inner: dict = field(default_factory=dict, repr=False)
     _sides: tuple = field(default=(), repr=False)
 
     def __getstate__(self):
-        return {"ordinary": self.ordinary, "toxic": self.toxic, "starts": self.starts, "inner": self.inner, "phrases": self.phrases, "firsts": self.firsts, "weights": self.weights, "bias": self.bias, "_cache": {}, "_bare": set(), "_any": None, "_sides": ()}
+        return {**self.__dict__, "_inner": {}, "_sides": ()}
+
+    def sides(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+        """The ordinary and the toxic compressor."""
 
-    def _compressors(self):
-        def side(content: bytes):
-            own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            with_ = zstandard.ZstdCompressionParameters.from_level(
-                LEVEL, source_size=128, dict_size=max(1, len(content)), min_match=3, write_content_size=0, write_checksum=0,
-                write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-            own.precompute_compress(compression_params=with_)
-            return zstandard.ZstdCompressor(dict_data=own, compression_params=with_)
+        def side(own: bytes) -> zstandard.ZstdCompressor:
+            content = own + self.common
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters.from_level(
+                LEVEL, source_size=64, dict_size=max(1, len(content)), write_content_size=0, write_checksum=0, write_dict_id=0,
+                format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+            held.precompute_compress(compression_params=how)
+            return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
 
         if not self._sides:
             self._sides = (side(self.ordinary), side(self.toxic))
         return self._sides
 
-    def gain(self, word: bytes, kind: int = OUTER) -> int:
-        """What the toxic dictionary saves on one window."""
-        # Without a toxic piece's first three bytes there is nothing to match.
-        if kind == PHRASE and word not in self.phrases or kind < PHRASE and word[:3] not in (self.inner if kind else self.starts):
-            return 0
-        plain, toxic = self._compressors()
-        coded = window(word, kind=kind)
-        return len(plain.compress(coded)) - len(toxic.compress(coded))
-
-    def _seen(self, token: bytes) -> tuple[dict[bytes, int], bytes] | None:
-        """The token's windows that have a gain, and its core if a phrase starts
-        with that, else nothing; None if neither is there."""
-        if self._any is None:
-            self._any = re.compile(b"|".join(map(re.escape, sorted(self.starts | self.inner))) or rb"(?!)")
-        core = core_of(token) if self.firsts else b""
-        core = core if core in self.firsts else b""
-        gains: dict[bytes, int] = {}
-        # No window of a token without any piece's first three bytes has a gain.
-        if self._any.search(token):
-            for k in starts_of(token):
-                own = token[k : k + LONGEST]
-                gains[own] = max(gains.get(own, 0), self.gain(own))
-            for k in range(len(token) - 2):
-                if token[k : k + 3] in self.inner:
-                    own = token[k : k + LONGEST]
-                    gains[own] = max(gains.get(own, 0), self.gain(own, INNER))
-        gains = {w: g for w, g in gains.items() if g > 0}
-        return (gains, core) if gains or core else None
-
-    def gains(self, text: bytes) -> tuple[dict[bytes, int], int]:
-        """The text's distinct windows that have a gain, and how many tokens it
-        has (a long one counts once for every ``LONGEST`` bytes)."""
-        if len(self._cache) + len(self._bare) > WINDOW_CACHE:
-            self._cache.clear()
-            self._bare.clear()
-        row = text.lower().split()
-        words = set(row)
-        out: dict[bytes, int] = {}
-        hot: dict[bytes, bytes] = {}
-        n = len(words)
-        # Tokens known to have neither gain nor phrase are passed over.
-        for w in words - self._bare:
-            n += (len(w) - 1) // LONGEST
-            found = self._cache.get(w) or (self._seen(w) if self.toxic else None)
-            if found is None:
-                if len(w) <= LONGEST:
-                    self._bare.add(w)
-                continue
-            if len(w) <= LONGEST:
-                self._cache[w] = found
-            for x, g in found[0].items():
-                out[x] = max(out.get(x, 0), g)
-            if found[1]:
-                hot[w] = found[1]
-        if hot:
-            for a, b in zip(row, row[1:]):
-                if a in hot:
-                    pair = hot[a] + b" " + core_of(b)
-                    if pair not in out and (g := self.gain(pair, PHRASE)) > 0:
-                        out[pair] = g
-        return out, n
+    def _gains(self, content: bytes, where: np.ndarray) -> np.ndarray:
+        """What the toxic side saves on each window of ``content``."""
+        out = np.zeros(len(where), dtype=np.int64)
+        for k in range(0, len(where), CHUNK):
+            part = where[k : k + CHUNK]
+            sizes = []
+            for side in self.sides():
+                done = side.multi_compress_to_buffer(zstandard.BufferWithSegments(content, part.tobytes()), threads=1)
+                sizes.append(np.fromiter(map(len, map(done.__getitem__, range(len(done)))), dtype=np.int64, count=len(done)))
+            out[k : k + CHUNK] = sizes[0] - sizes[1]
+        return out
+
+    def gains(self, text: bytes) -> np.ndarray:
+        """The gain of each of the text's windows."""
+        content, begin, end = wide(text)
+        return self._gains(content, windows(begin, end))
+
+    def inner_gains(self, text: bytes) -> np.ndarray:
+        """The largest gain of the inner windows of each distinct long word."""
+        runs = _runs(text)
+        new = [r for r in runs if r not in self._inner]
+        if len(self._inner) + len(new) > WORD_CACHE:
+            self._inner.clear()
+            new = list(runs)
+        for k in range(0, len(new), CHUNK):
+            part = new[k : k + CHUNK]
+            content, where, of = inner_windows(part)
+            best = np.zeros(len(part), dtype=np.int64)
+            if len(of):
+                np.maximum.at(best, of, self._gains(content, where))
+            self._inner.update(zip(part, best.tolist(), strict=True))
+        return np.fromiter(map(self._inner.__getitem__, runs), dtype=np.int64, count=len(runs))
 
     def features(self, text: bytes) -> list[float]:
-        """How many distinct windows reach each gain, and how many tokens there are."""
-        found, n = self.gains(text)
-        return [log1p(sum(g >= least for g in found.values())) for least in GAINS] + [log1p(n) / 10]
+        """How many windows and long words reach each gain, and how many windows
+        there are."""
+        if not self.toxic:
+            return [0.0] * len(self.weights)
+        gains, inner = self.gains(text), self.inner_gains(text)
+        return [*(log1p(int((gains >= g).sum())) for g in GAINS), *(log1p(int((inner >= g).sum())) for g in INNER_GAINS), log1p(len(gains)) / 10]
 
     def score(self, text: bytes) -> float:
         z = self.bias + sum(w * x for w, x in zip(self.weights, self.features(text), strict=True))
@@ -372,14 +471,16 @@ class Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 50) -> tuple[list[float], float]:
-    """Weights and bias by Newton's method with a small ridge."""
+    """Weights and bias by Newton's method with a small ridge, toxic rows weighing
+    ``TOXIC_WEIGHT``."""
     a = np.c_[x, np.ones(len(x))]
     w = np.zeros(a.shape[1])
     penalty = np.full(a.shape[1], ridge)
     penalty[-1] = 1e-6
+    weight = np.where(y > 0, TOXIC_WEIGHT, 1.0)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(penalty), a.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((a * (weight * p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(penalty), a.T @ (weight * (y - p)) - penalty * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -394,21 +495,13 @@ def train(dictionary: list[tuple[bytes, int]], calibration: list[tuple[bytes, in
     model = Model(bias=log(share / (1 - share)) if 0 < share < 1 else 30.0 if share else -30.0)
     if not toxic or not plain or not 0 < share < 1:
         return model
-    outer_t, outer_o = _outer(toxic), _outer(plain)
-    pieces = _toxic_pieces(outer_t, outer_o)
-    inner, common = _inner_pieces(toxic, plain)
-    phrases = _phrases(toxic, plain, pieces, inner)[:TOXIC_PIECES]
-    if not pieces and not inner and not phrases:
+    telling = _telling_text(toxic, plain)
+    if not telling:
         return model
-    # Both dictionaries hold the pieces' first two bytes: less than three can't tell.
-    heads = [window(x, False, kind) for kind, own in ((OUTER, pieces), (INNER, inner)) for x in sorted({s[:2] for s in own})]
-    model.ordinary = b"".join(
-        [*(window(s.split(b" ")[0] + b" ", False, PHRASE) for s in phrases), *(window(s, False, INNER) for s in common), _ordinary_strings(outer_o), *heads])
-    model.toxic = model.ordinary + b"".join(
-        [*(window(s, True, PHRASE) for s in phrases), *(window(s, False, INNER) for s in inner), *(window(s, False) for s in reversed(pieces))])
-    model.starts = frozenset(s[:3] for s in pieces)
-    model.inner = frozenset(s[:3] for s in inner)
-    model.phrases, model.firsts = frozenset(phrases), frozenset(s.split(b" ")[0] for s in phrases)
+    usual = [wide(b" ".join(row))[0] for row in plain]
+    # As many ordinary texts as there are toxic ones, for a side of equal size.
+    model.common, model.toxic = _trained(usual, COMMON_BYTES), _trained(telling, OWN_BYTES)
+    model.ordinary = _trained(usual[: len(toxic)], len(model.toxic))
     calibration = calibration or dictionary
     x = np.array([model.features(t) for t, _ in calibration])
     model.weights, model.bias = _logistic(x, np.array([y for _, y in calibration], dtype=np.float64))
