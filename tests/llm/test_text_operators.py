@@ -3,6 +3,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -230,27 +231,91 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(spark.createDataFrame([], DOCS), toxicity.Model()).count() == 0
 
 
-def test_quality_keeps_the_good(spark):
+def junk_and_prose(n=600):
     rng = random.Random(5)
     words = [f"{a}{b}" for a in "bdfglmnprst" for b in ("an", "er", "ion", "o", "ist")]
     docs, labels = [], []
-    for k in range(600):
+    for k in range(n):
         text = [rng.choice(words) for _ in range(40)]
         bad = k % 6 == 0
         text = " ".join(w + rng.choice(["***", "$$$"]) if bad else w for w in text) + "."
         docs.append((k, text, "en", "s", 1))
         if k % 2 == 0 or bad:
             labels.append((k, int(not bad), 0))
+    return docs, labels
+
+
+def test_quality_draws_the_good(spark):
+    docs, labels = junk_and_prose()
     docs += [(9000, None, None, None, None), (9001, "", "en", "s", 0)]
     d, y = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
-    kept = {r.doc_id for r in quality.select(d, y).collect()}
+    share = quality.target_share(y)
+    assert share == pytest.approx(2 / 3 + (2 / 9 / 300) ** 0.5)
     good = {k for k in range(600) if k % 6}
-    assert len(good - kept) <= 2 and len(kept & {k for k in range(0, 600, 6)}) <= 2 and {9000, 9001} <= kept
-    assert {r.doc_id for r in quality.drop_rejected(d, y).collect()} == kept
+    kept = {r.doc_id for r in quality.select(d, y, share=501 / 602).collect()}
+    assert len(kept) == 501 and len(good - kept) <= 3 and len(kept & set(range(0, 600, 6))) <= 3
+    assert {r.doc_id for r in quality.drop_rejected(d, y, share=501 / 602).collect()} == kept
+    assert quality.drop_rejected(d, y).count() == quality.select(d, y).count() == math.ceil(share * 602)
     assert quality.drop_rejected(d, spark.createDataFrame([], LABELS)).count() == len(docs)
     assert quality.drop_rejected(spark.createDataFrame([], DOCS), y).count() == 0
 
 
+def grams_by_hand(text):
+    """The n-grams of a text as pairs of a kind and what identifies them."""
+    tokens = re.findall(r"[0-9A-Za-z]+|[^\s0-9A-Za-z]+", text)
+    words = [t.lower() for t in tokens]
+    shapes = []
+    for k, t in enumerate(tokens):
+        kind = "digits" if t.isdigit() else "upper" if t.isupper() else "lower" if t.islower() else "title" if t.istitle() else "mixed"
+        shapes.append((f"{kind}{min(len(t), 24) // 8}" if t.isalnum() else t, words[k] in words[max(0, k - 2) : k]))
+    first = [("w", w) for w in words] + [("w", *p) for p in zip(words, words[1:])]
+    return first, [("s", x) for x in shapes] + [("s", *p) for p in zip(shapes, shapes[1:])] + [("s", *p) for p in zip(shapes, shapes[1:], shapes[2:])]
+
+
+def test_quality_weights_against_brute_force(spark, monkeypatch):
+    """Both models and all weights, with n-grams counted by hand; buckets are so
+    many that none holds two n-grams."""
+    monkeypatch.setattr(quality, "WORD_BITS", 44)
+    docs, labels = junk_and_prose(60)
+    docs[7] = (7, "One 12 ONE one-two!! (iPad) one one", "en", "s", 1)
+    tokens, bucket = quality._Tokens(), {}
+    for _, text, *_ in docs:
+        own = quality.grams(text.encode(), tokens)
+        for gram, at in zip([g for part in grams_by_hand(text) for g in part], own.tolist(), strict=True):
+            assert bucket.setdefault(gram, at) == at
+    monkeypatch.undo()
+    assert len({b for g, b in bucket.items() if g[0] == "w"}) == sum(g[0] == "w" for g in bucket)
+    rows = {r.doc_id: r for r in quality.weigh(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
+    good, at = {k for k, q, _ in labels if q}, quality._Tokens()
+    raw, target = Counter(), Counter()
+    for k, text, *_ in docs:
+        raw.update(quality.grams(text.encode(), at).tolist())
+        if k in good:
+            target.update(quality.grams(text.encode(), at).tolist())
+    for k, text, *_ in docs:
+        want = 0.0
+        own = quality.grams(text.encode(), at).tolist()
+        for b in own:
+            low, high = (0, quality.WORD_BUCKETS) if b < quality.WORD_BUCKETS else (quality.WORD_BUCKETS, quality.BUCKETS)
+            n = high - low
+            r = (raw[b] + 0.5) / (sum(c for x, c in raw.items() if low <= x < high) + 0.5 * n)
+            t = (target[b] + n * r) / (sum(c for x, c in target.items() if low <= x < high) + n)
+            want += math.log(t / r)
+        assert rows[k].log_weight == pytest.approx(want / len(own) / quality.TEMPERATURE, abs=1e-9)
+
+
+def test_quality_seeds_change_the_draw_by_weight(spark):
+    docs, labels = junk_and_prose(1200)
+    d, y = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    draws = [{r.doc_id: r.log_weight for r in quality.select(d, y, share=0.25, seed=k).collect()} for k in (1, 2, 3)]
+    assert all(len(x) == 300 for x in draws)
+    # A quarter of good rows with nearly equal weights: sets overlap as chance has it.
+    assert all(len(a.keys() & b.keys()) < 160 for a, b in zip(draws, draws[1:]))
+    assert sum(k % 6 == 0 for x in draws for k in x) <= 3
+    usual = [{r.doc_id for r in quality.select(d, y, seed=k).collect()} for k in (1, 2)]
+    assert usual[0] != usual[1]
+
+
 def test_gumbel_top_k_takes_exactly_k(spark):
     rows = spark.createDataFrame([(k, float(k % 7), float(k % 7)) for k in range(200)], "doc_id long, log_weight double, key double")
     for k in (0, 1, 28, 57, 200):

@@ -1,29 +1,33 @@
 """Quality by importance resampling.
 
 Text is turned into hashed n-grams: words, pairs of words, and runs of one to
-three token shapes (case, digits, punctuation, whether a word repeats the one
-before).  Two generative models give each bucket a probability, one for target
-text (labelled good) and one for raw text (all documents).  A document's log
-importance weight is the sum of its n-grams' log ratios.  Adding Gumbel noise,
-hashed from the id, and keeping the k largest draws k documents in proportion to
-their weights without replacement.
-
-The raw model counts every document.  The target model uses one half of a bounded
-sample of labelled rows (``SAMPLE`` by class, chosen by hash), smoothed towards
-the raw model.  k is the number of documents whose noisy weight reaches the level
-that separates the classes of the other half best, so that the share that is
-kept follows the data, and rows that the model has seen don't set the level.
-
-Cases: a null or empty text has no n-grams and weight 0 and is kept; a null id has the noise
-of the empty string; repeated rows get equal keys; without labels of both
-classes, and for an empty table, nothing is rejected; other columns pass through
-``resample`` unchanged.
+three token shapes (case and length class, digits, punctuation, whether a word
+repeats one of the two before).  Two generative models give each bucket a
+probability, one for target text (labelled good) and one for raw text (all
+documents).  A document's log importance weight is the mean log ratio of its
+n-grams divided by ``TEMPERATURE``.  Adding Gumbel noise, hashed from id and seed,
+and keeping the k largest draws k documents in proportion to their weights without
+replacement: another seed draws another set.
+
+k is fixed before any document is weighed: the share of good labels, and one
+standard error more so that clean documents are rather kept, of all rows; or the
+share the caller names.
+
+The raw model counts every document.  The target model uses a bounded sample of
+rows labelled good (``SAMPLE``, chosen by hash), smoothed towards the raw model.
+
+Cases: a null or empty text has no n-grams and weight 0, that of text the models
+don't tell apart, and is drawn as such; a null id has the noise of the empty string;
+repeated rows get equal keys; without labels of both classes, and for an empty
+table, nothing is rejected; ``drop_rejected`` keeps rows without id; other columns
+pass through ``resample`` unchanged.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +44,8 @@ BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 #: Observations of the raw model, by bucket, that the target model starts with.
 SMOOTHING = 1.0
 SEED = 7
-#: Room for good rows that weigh a little less than any in the sample.
-MARGIN = 8.0
-#: The level is no higher: a weight of 0, as short texts have, says nothing
-#: against a document, and the noise is hardly ever below this.
-CEILING = -3.0
+#: Nats of mean log ratio that weigh as much as one unit of Gumbel noise.
+TEMPERATURE = 0.1
 
 _TOKENS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 
@@ -66,7 +67,7 @@ class _Tokens(dict):
             kind = "digits" if text.isdigit() else "upper" if text.isupper() else "lower" if text.islower() else "title" if text.istitle() else "mixed"
             shape = f"{kind}{min(len(text), 24) // 8}"
         else:
-            shape = text[:8]
+            shape = text
         self.word[at], self.shape[at] = xxhash.xxh3_64_intdigest(token.lower()), xxhash.xxh3_64_intdigest(shape.encode())
         return at
 
@@ -95,8 +96,8 @@ def grams(text: bytes, tokens: _Tokens) -> np.ndarray:
 
 
 def _counts(docs: DataFrame, sample: DataFrame) -> np.ndarray:
-    """Two rows of counts by bucket: of all documents, and of the sample's good
-    ones.  Each task sends one row for a bucket."""
+    """Two rows of counts by bucket: of all documents, and of the sample's.  Each
+    task sends one row for a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, total = _Tokens(), np.zeros((2, BUCKETS), dtype=np.int64)
@@ -109,7 +110,7 @@ def _counts(docs: DataFrame, sample: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["bucket", "raw", "target"])
 
-    rows = spread(docs.select("doc_id", "text")).join(F.broadcast(sample), "doc_id", "left").select(F.col("text").cast("binary").alias("text"), ((F.col("y") == 1) & F.col("early")).alias("good"))
+    rows = spread(docs.select("doc_id", "text")).join(F.broadcast(sample), "doc_id", "left").select(F.col("text").cast("binary").alias("text"), F.coalesce("good", F.lit(False)).alias("good"))
     sums = rows.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     out = np.zeros((2, BUCKETS), dtype=np.int64)
     for bucket, raw, target in sums.collect():  # at most BUCKETS rows
@@ -133,47 +134,43 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
     return -F.log(-F.log((bits.cast("double") + 0.5) / F.lit(float(2**52))))
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").dropDuplicates(["doc_id"])
+
+
 def label_sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """(doc_id, y, early): at most ``size`` labelled rows of each class, one half
-    of them for the target model."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").dropDuplicates(["doc_id"])
-    order = F.xxhash64("doc_id")
-    one, nought = (known.where(F.col("y") == y).orderBy(order).limit(size) for y in (1, 0))
-    return one.unionByName(nought).withColumn("early", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0)
+    """(doc_id, good): at most ``size`` rows labelled good."""
+    return _known(labels).where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size).select("doc_id", F.lit(True).alias("good"))
+
 
+def target_share(labels: DataFrame) -> float:
+    """The share of documents to keep: that of good labels and a standard error;
+    1 without labels of both classes."""
+    n, good = _known(labels).agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not 0 < good < n:
+        return 1.0
+    share = good / n
+    return min(1.0, share + (share * (1 - share) / n) ** 0.5)
 
-def weigh(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, float | None]:
-    """(doc_id, log_weight, key) of each row of ``docs(doc_id, text)`` and the
-    level of the key that separates the labelled classes (None without both)."""
+
+def weigh(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, log_weight, key) of each row of ``docs(doc_id, text)``."""
     known = materialise(label_sample(labels, sample), "quality-sample")
     raw, target = _counts(docs, known)
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(raw, target) if target.any() else np.zeros(BUCKETS))
+    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(raw, target) / TEMPERATURE if target.any() else np.zeros(BUCKETS))
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, by_bucket = _Tokens(), ratios.value
         for batch in batches:
-            weights = [float(by_bucket[grams(t.as_py() or b"", tokens)].sum()) for t in batch.column(1)]
+            weights = []
+            for t in batch.column(1):
+                own = grams(t.as_py() or b"", tokens)
+                weights.append(float(by_bucket[own].mean()) if len(own) else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.float64())], names=["doc_id", "log_weight"])
 
     rows = spread(docs.select("doc_id", F.col("text").cast("binary").alias("text"))).mapInArrow(run, f"doc_id {kind}, log_weight double")
-    rows = materialise(rows.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"))), "quality-weights")
-    seen = rows.join(F.broadcast(known.where("not early")), "doc_id").select("key", "y").collect()  # at most two samples
-    return rows, _level(np.array([r.key for r in seen]), np.array([r.y for r in seen]))
-
-
-def _level(keys: np.ndarray, good: np.ndarray) -> float | None:
-    """The key that keeps most good rows and rejects most others, a lost good
-    row counting as four; ``MARGIN`` lower, or halfway to the next key if that
-    is nearer."""
-    if not (good == 1).any() or not (good == 0).any():
-        return None
-    order = np.argsort(-keys, kind="stable")
-    keys, good = keys[order], good[order]
-    gain = 4 * np.cumsum(good == 1) / (good == 1).sum() - np.cumsum(good == 0) / (good == 0).sum()
-    best = int(np.argmax(gain))
-    below = keys[best + 1] if best + 1 < len(keys) else keys[best] - 1
-    return min(CEILING, float(keys[best] - min(MARGIN, (keys[best] - below) / 2)))
+    return materialise(rows.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)), "quality-weights")
 
 
 def _ordered(value: Column) -> Column:
@@ -196,21 +193,21 @@ def resample(weighted: DataFrame, k: int) -> DataFrame:
     return rows.where(F.col("_rank") > least).unionByName(edge.where(F.col("_tie") >= F.lit(last)).drop("_tie")).drop("_rank")
 
 
-def select(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, log_weight, key) of the documents that the resampling keeps."""
-    rows, level = weigh(docs, labels, sample)
-    if level is None:
-        return rows
-    k = rows.where(F.col("key") >= level).count()
-    return resample(rows, k)
+def select(docs: DataFrame, labels: DataFrame, share: float | None = None, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, log_weight, key) of the documents that the resampling draws: the
+    given share of all, else ``target_share``."""
+    share = target_share(labels) if share is None else share
+    rows = weigh(docs, labels, sample, seed)
+    return rows if share >= 1 else resample(rows, ceil(share * rows.count()))
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that the resampling keeps; rows without id stay."""
-    rows, level = weigh(docs, labels, sample)
-    if level is None:
+def drop_rejected(docs: DataFrame, labels: DataFrame, share: float | None = None, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` that the resampling draws; rows without id stay."""
+    share = target_share(labels) if share is None else share
+    if share >= 1:
         return docs
-    kept = resample(rows, rows.where(F.col("key") >= level).count()).select("doc_id").distinct()
+    rows = weigh(docs, labels, sample, seed)
+    kept = resample(rows, ceil(share * rows.count())).select("doc_id").distinct()
     name = free_column(docs, "rejected")
     rejected = rows.select("doc_id").distinct().join(kept, "doc_id", "left_anti").select(F.col("doc_id").alias(name))
     return docs.join(rejected.hint("shuffle_hash"), F.col("doc_id") == F.col(name), "left_anti")
