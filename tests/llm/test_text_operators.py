@@ -171,11 +171,11 @@ def test_toxicity_against_brute_force():
         starts = range(0, max(len(words) - 1, min(1, len(words))), 2)
         want = [saved(model, content[begin[k] : end[min(k + 2, len(words) - 1)]]) for k in starts]
         assert model.gains(text).tolist() == want
-        long = sorted(set(re.findall(rb"[0-9a-z\x80-\xff]{9,}", text.lower())))
+        long = sorted(set(re.findall(rb"[0-9a-z\x80-\xff]{12,}", text.lower())))
         inner = []
         for r in long:
             at = [n for n in range(1, len(r) - 3) if r[n] & 0xC0 != 0x80]
-            inner.append(max([0, *(saved(model, coded(r[n : n + 16])) for n in at)]))
+            inner.append(max([0, *(saved(model, coded(r[n : n + 12])) for n in at)]))
         assert sorted(model.inner_gains(text).tolist()) == sorted(inner)
         x = [math.log1p(sum(g >= n for g in want)) for n in toxicity.GAINS] + [math.log1p(sum(g >= n for g in inner)) for n in toxicity.INNER_GAINS]
         z = model.bias + sum(w * v for w, v in zip(model.weights, [*x, math.log1p(len(want)) / 10], strict=True))

@@ -60,8 +60,8 @@ SAMPLE_BYTES = 20_000
 COMMON_BYTES, OWN_BYTES = 96 * 1024, 24 * 1024
 WORDS, STEP = 3, 2
 LONGEST = 32
-INNER_FROM, INNER_BYTES = 9, 16
-LEVEL = 3
+INNER_FROM, INNER_BYTES = 12, 12
+LEVEL, LEAST_MATCH = 2, 5
 #: Least gains, in bytes, of the classes by which windows are counted.
 GAINS = (2, 4, 6, 8, 10, 13, 17)
 INNER_GAINS = (4, 8, 13, 20)
@@ -212,17 +212,16 @@ def windows(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 def inner_windows(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """What each word's inner windows are, written wide one after another: their
     bytes, offset and length of each, and which word it is of."""
-    parts, of = [], []
-    for k, w in enumerate(words):
-        found = [w[n : n + INNER_BYTES] for n in range(1, len(w) - 3) if w[n] & 0xC0 != 0x80]
-        parts += found
-        of += [k] * len(found)
-    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    flat = np.frombuffer(b"".join(words), dtype=np.uint8)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    of = np.repeat(np.arange(len(words)), sizes)
+    left = np.cumsum(sizes)[of] - np.arange(len(flat))
+    at = np.flatnonzero((left > 3) & (left < sizes[of]) & (flat & 0xC0 != 0x80))
+    sizes = np.minimum(left[at], INNER_BYTES)
     starts = np.cumsum(sizes) - sizes
-    flat = np.frombuffer(b"".join(parts), dtype=np.uint8)
-    where = np.empty((len(parts), 2), dtype=np.uint64)
-    where[:, 0], where[:, 1] = 4 * starts, 4 * sizes
-    return _prints(flat, starts, sizes).astype("<u4").tobytes(), where, np.array(of, dtype=np.int64)
+    where = np.stack([4 * starts, 4 * sizes], axis=1).astype(np.uint64)
+    each = flat[np.repeat(at - starts, sizes) + np.arange(int(sizes.sum()))]
+    return _prints(each, starts, sizes).astype("<u4").tobytes(), where, of[at]
 
 
 def _runs(text: bytes) -> set[bytes]:
@@ -415,7 +414,7 @@ class Model:
             content = own + self.common
             held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             how = zstandard.ZstdCompressionParameters.from_level(
-                LEVEL, source_size=64, dict_size=max(1, len(content)), write_content_size=0, write_checksum=0, write_dict_id=0,
+                LEVEL, min_match=LEAST_MATCH, source_size=64, dict_size=max(1, len(content)), write_content_size=0, write_checksum=0, write_dict_id=0,
                 format=zstandard.FORMAT_ZSTD1_MAGICLESS)
             held.precompute_compress(compression_params=how)
             return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
