@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -91,6 +92,27 @@ def test_asides_part_lines_but_lose_no_main_text():
     assert html.main_text(f"<p>{long}</p><footer>Foot</footer><p>Below</p>") == want
 
 
+def test_windows_decide_in_a_marked_part(monkeypatch):
+    long, ad = "Plain words of the story. " * 24, "<div class=ad>Buy this</div>"
+    page = f"<article><h1>Title</h1>{ad}<section><p>{long}</p><p>End.</p></section>{ad}<div><span>Ok.</span></div></article>"
+    want = f"Title\n{long.strip()}\nEnd."
+    assert html.main_text(page) == want
+    monkeypatch.setattr(html, "MARKED_PART", 0)
+    assert html.main_text(page) == want + "\nOk."
+    monkeypatch.setattr(html, "MARKED_PART", 9)
+    monkeypatch.setattr(html, "SURGE_CHARS", 10**9)
+    assert html.main_text(page) == ""
+
+
+def test_nested_and_stray_tags_take_linear_time():
+    n = 100_000
+    for page in ("<b>" * n + "<p>x" + "</i>" * n, "<div>" * n + "x", "<div>x" * n, "<b>x</i>" * n, "<p><b>" * n + "x", "<article>" + "<li>x</b>" * n, "<form>" * n + "<article>x"):
+        start = time.process_time()
+        assert "x" in html.main_text(page)
+        assert time.process_time() - start < 12
+    assert html.main_text("</div></p>" * n + "<p>one<p>two") == "one\ntwo"
+
+
 def test_pages(spark):
     schema = "page_id long, url string, html string, text string"
     rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, None), (2, None, None, None), (3, "v", "<p>" + "word " * 100_000, None)]

@@ -7,14 +7,14 @@ class and id) have length 0, and so have lines that are mostly links where the
 page marks no main part.  Window k holds the sum of the lengths of ``WINDOW``
 lines from line k on.  A segment starts where that sum surges over a threshold
 (relative to the page's largest window, so that short pages have one, too) and
-ends where it dives to zero.  Lines of the segments are the text; if the page
-marks an article (else a main part, by element, role or a usual class or id),
-only its lines count, and any of its lines is a surge.
+ends where it dives to zero.  If the page marks an article (else a main part, by
+element, role or a usual class or id), only its lines count and the threshold is
+lower, as a marked part holds little else than text.
 
-What is aside parts lines but loses no main text: without a marked part, all lines
-between the first surge and the last dive are text, and so are, before and after,
-the headings next to them and the lines of the same parent, up to a menu or a page
-footer.
+What is aside parts lines but loses no main text: all lines between the first surge
+and the last dive are text, and so are, before and after, the headings next to them
+and the lines of the same parent, up to a menu or a page footer.  Of a marked part
+that drops what surges nowhere, is no heading and stands apart behind what is aside.
 
 A form around an article or main element doesn't void it.  A wrapper whose class
 or id has a word of layout (such as sidebar-right or modal-wrap), and a form around
@@ -24,13 +24,15 @@ stands among adverts, comments or related pages stays aside.
 
 Cases: a null or empty html, and a page without text, give an empty string;
 tags, quotes and comments that never end are closed by the end of the page;
-repeated rows are extracted each for itself; an empty table gives an empty
+elements may be nested or left open in any number, in time proportional to the
+page; repeated rows are extracted each for itself; an empty table gives an empty
 result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
@@ -44,6 +46,8 @@ WINDOW = 3
 #: A surge is more than this many characters in a window, or this part of the
 #: page's largest window if that is less.
 SURGE_CHARS, SURGE_PART = 86, 0.2
+#: The same part in a marked main part.
+MARKED_PART = 0.02
 #: Above this part of linked text a line outside a marked main part is a menu.
 LINKED = 0.6
 
@@ -140,13 +144,33 @@ class Line(NamedTuple):
     footer: bool
 
 
+class Open(NamedTuple):
+    """An open element."""
+
+    tag: str
+    #: How it is aside and what is around its content; the main part it is in.
+    other: int
+    around: int
+    part: int
+    main: int
+    #: The nearest block: its tag, its number and that of the block around it.
+    block: str
+    own: int
+    above: int
+    footer: bool
+
+
+PAGE = Open("", CLEAR, CLEAR, 0, 0, "", 0, 0, False)
+
+
 def lines_of(html: str) -> list[Line]:
     """Each block's text in page order."""
     out: list[Line] = []
-    stack: list[tuple[str, int, int, int, int]] = []
+    stack: list[Open] = []
+    held: Counter = Counter()
     serial = 0
     parts: list[str] = []
-    main = linked = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
@@ -154,19 +178,15 @@ def lines_of(html: str) -> list[Line]:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                blocks = [x for x in stack if x[0] in BLOCKS]
                 # Bare text stands beside the blocks of the element it is in.
-                own = blocks[-1] if blocks else ("", 0, 0, 0, 0)
-                alone = own[0] in SINGLE
-                out.append(Line(
-                    text, stack[-1][3] if stack else CLEAR, main, linked, own[0] if alone else "",
-                    (blocks[-2][4] if len(blocks) > 1 else 0) if alone else own[4], any(x[0] == "footer" for x in blocks)))
+                top = stack[-1] if stack else PAGE
+                alone = top.block in SINGLE
+                out.append(Line(text, top.around, top.main, linked, top.block if alone else "", top.above if alone else top.own, top.footer))
         linked = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal main
+        held.subtract(x.tag for x in stack[depth:])
         del stack[depth:]
-        main = max((x[2] for x in stack), default=0)
 
     at, links = 0, 0
     while True:
@@ -174,7 +194,7 @@ def lines_of(html: str) -> list[Line]:
         piece = html[at : m.start() if m else len(html)]
         if piece:
             # Text ends a head that has no end tag, and so does a tag of the body.
-            if stack and stack[-1][0] == "head" and piece.strip():
+            if stack and stack[-1].tag == "head" and piece.strip():
                 flush()
                 pop_to(len(stack) - 1)
             parts.append(piece)
@@ -187,20 +207,20 @@ def lines_of(html: str) -> list[Line]:
         if not tag:
             continue
         if m[1] or m[4]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag) if held[tag] else None
             if tag == "a":
                 links = 0
             if depth is not None:
-                if any(x[0] in BLOCKS or x[1] for x in stack[depth:]):
+                if any(x.tag in BLOCKS or x.other for x in stack[depth:]):
                     flush()
                 pop_to(depth)
             elif tag in BLOCKS:
                 flush()
             continue
         attrs = m[3] if m[2] else m[6]
-        if tag == "head" and any(x[0] != "html" for x in stack):
+        if tag == "head" and len(stack) > held["html"]:
             continue
-        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+        if stack and stack[-1].tag == "head" and tag not in IN_HEAD:
             flush()
             pop_to(len(stack) - 1)
         if tag == "br":
@@ -211,24 +231,27 @@ def lines_of(html: str) -> list[Line]:
             at = end.end() if end else len(html)
             parts.append(" ")
             continue
-        other, part = _aside(tag, attrs, main)
+        top = stack[-1] if stack else PAGE
+        other, part = _aside(tag, attrs, top.main)
         if tag in BLOCKS or other or part:
             flush()
         if tag in CLOSES_P or tag == "li":
             goal = "li" if tag == "li" else "p"
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == goal:
+            for k in range(len(stack) - 1, -1, -1) if held[goal] else ():
+                if stack[k].tag == goal:
                     pop_to(k)
                     break
-                if stack[k][0] in BLOCKS and stack[k][0] != "p":
+                if stack[k].tag in BLOCKS and stack[k].tag != "p":
                     break
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             continue
         if tag == "a":
             links = 1
         serial += 1
-        stack.append((tag, other, part, _around(stack[-1][3] if stack else CLEAR, tag, other, part), serial))
-        main = max(main, part)
+        top = stack[-1] if stack else PAGE
+        blocks = (tag, serial, top.own, top.footer or tag == "footer") if tag in BLOCKS else top[5:]
+        stack.append(Open(tag, other, _around(top.around, tag, other, part), part, max(top.main, part), *blocks))
+        held[tag] += 1
     flush()
     return out
 
@@ -275,16 +298,16 @@ def main_text(html: str | None) -> str:
         owner += [k] if kept else [k] * WINDOW
         keep.append(kept)
     window = [sum(sizes[k : k + WINDOW]) for k in range(len(sizes))]
-    surge = min(SURGE_CHARS, SURGE_PART * max(window, default=0))
+    surge = min(SURGE_CHARS, (MARKED_PART if marked else SURGE_PART) * max(window, default=0))
     chosen, inside = [], False
     for k, size in enumerate(sizes):
-        if not inside and size and (marked or window[k] > surge):
+        if not inside and size and window[k] > surge:
             inside = True
         elif inside and not window[k]:
             inside = False
         if inside and size:
             chosen.append(owner[k])
-    if chosen and not marked:
+    if chosen:
         chosen = _widened(lines, keep, chosen)
     return "\n".join(lines[k].text for k in chosen)
 
