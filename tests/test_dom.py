@@ -1,10 +1,11 @@
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from pyspark.sql import functions as F
 
 from weftline.functions import tree
 from weftline.functions.css import css
-from weftline.operators import dom, preprocess
+from weftline.operators import chunking, dom, markdown, preprocess, represent
 
 CASES = {
     "<p><b>x<br><p>y": "<p><b>x<br></b></p><p><b>y</b></p>",
@@ -96,3 +97,13 @@ def test_preprocessing(spark):
     assert preprocess.html_to_text(page).first().text == "n a b c"
     assert preprocess.remove_boilerplate(page).first().html == "<html><head></head><body><main><p>a  b<script>z</script></p></main></body></html>"
     assert preprocess.main_content_html(page).first().html == "<main><p>a  b<script>z</script></p></main>"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 1200 + "deep", "<b><ul><li>" * 400 + "deep" + "</i>" * 1200, "<blockquote><p>" * 1100 + "deep", "<section class=content>" * 1100 + "deep"])
+def test_no_page_nests_too_deep(page):
+    html = f"<body>{page}"
+    assert "deep" in markdown.to_markdown(html) and "deep" in represent.simplified(html) and "deep" in represent.tree_text(html)
+    options = chunking.Options()
+    for cut in (chunking.by_size, chunking.by_semantics, chunking.by_hierarchy):
+        assert any("deep" in c["content"] for c in cut(html, options))
+    assert all("deep" in c["text"] for c in chunking.sections_of(html))

@@ -10,7 +10,7 @@ never fails: what is left open at the end of the input is closed.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html import unescape
 
 # Element groups of the HTML standard.
@@ -115,6 +115,21 @@ class Node:
         return "".join(out)
 
 
+def unrolled(first: Generator) -> object:
+    """What a recursion returns that is written as generators, each of which
+    yields the generator of a call and is sent its result: an explicit stack, so
+    that no page nests too deep."""
+    stack, value = [first], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
 class Comment:
     __slots__ = ("text",)
 

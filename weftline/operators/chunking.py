@@ -183,18 +183,18 @@ def by_semantics(html: str, o: Options) -> list[dict]:
     names = frozenset("main article section nav header footer aside form table".split())
     parts: list[tuple[str, str]] = []
 
-    def visit(node: tree.Node) -> None:
+    def visit(node: tree.Node):
         for child in node.children:
             if isinstance(child, tree.Node) and child.tag in names:
                 parts.append((child.tag, child.html()))
             elif isinstance(child, tree.Node) and any(n.tag in names for n in child.walk()):
-                visit(child)
+                yield visit(child)
             elif isinstance(child, tree.Node):
                 parts.append(("content", child.html()))
             elif isinstance(child, str) and child.strip():
                 parts.append(("content", child))
 
-    visit(tree.parse(html).find("body"))
+    tree.unrolled(visit(tree.parse(html).find("body")))
     return pack(parts, o, _section_kind) if parts else by_size(html, o)
 
 
@@ -227,7 +227,7 @@ def by_hierarchy(html: str, o: Options) -> list[dict]:
         named = any(w in node.attrs.get("class", "") or w in node.attrs.get("id", "") for w in CHUNK_WORDS)
         return (node.tag in CHUNK_TAGS or named) and n >= o.min_tokens or n >= o.max_tokens // 2
 
-    def visit(node: tree.Node, depth: int, parent: int | None) -> None:
+    def visit(node: tree.Node, depth: int, parent: int | None):
         own = node.html()
         n = o.count(own)
         here, below = parent, depth
@@ -240,9 +240,9 @@ def by_hierarchy(html: str, o: Options) -> list[dict]:
                     out.extend(_chunk(p["content"], p["start"], "Element", 0.5, below, here) for p in by_size(child.html(), o))
                 return
         for child in node.elements:
-            visit(child, below, here)
+            yield visit(child, below, here)
 
-    visit(tree.parse(html), 0, None)
+    tree.unrolled(visit(tree.parse(html), 0, None))
     return out
 
 
@@ -251,18 +251,21 @@ def sections_of(html: str) -> list[dict]:
     section around it."""
     out: list[dict] = []
 
-    def visit(node: tree.Node, depth: int, path: list[str], parent: int | None) -> None:
-        here = [*path, tree.path_token(node)]
+    path: list[str] = []
+
+    def visit(node: tree.Node, parent: int | None):
+        path.append(tree.path_token(node))
         if node.tag in SECTION_TAGS:
             own = node.html()
             out.append({
-                "position": len(out), "parent_position": parent, "tag": node.tag, "depth": depth, "element_id": node.attrs.get("id"),
-                "classes": node.classes, "selector_path": " > ".join(here), "content": own, "text": node.text(" "), "tokens": Options.count(own)})
+                "position": len(out), "parent_position": parent, "tag": node.tag, "depth": len(path), "element_id": node.attrs.get("id"),
+                "classes": node.classes, "selector_path": " > ".join(path), "content": own, "text": node.text(" "), "tokens": Options.count(own)})
             parent = len(out) - 1
         for child in node.elements:
-            visit(child, depth + 1, here, parent)
+            yield visit(child, parent)
+        path.pop()
 
-    visit(tree.parse(html), 1, [], None)
+    tree.unrolled(visit(tree.parse(html), None))
     return out
 
 

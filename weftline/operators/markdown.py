@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -107,16 +107,20 @@ class _Writer:
             n.tag in SKIPPED_TAGS or not SKIPPED_CLASSES.isdisjoint(n.classes) or "hidden" in n.attrs or "display:none" in style or "visibility:hidden" in style
             or any(w in own for w in HIDDEN_WORDS))
 
-    def inline(self, n: tree.Node) -> str:
-        return re.sub(r"\s+", " ", "".join(self.piece(c) for c in n.children)).strip()
+    # Methods that call one another are generators for ``tree.unrolled``.
+    def inline(self, n: tree.Node) -> Generator:
+        pieces = []
+        for c in n.children:
+            pieces.append((yield self.piece(c)))
+        return re.sub(r"\s+", " ", "".join(pieces)).strip()
 
-    def piece(self, c) -> str:
+    def piece(self, c) -> Generator:
         """A child within a line."""
         if isinstance(c, str):
             return re.sub(r"\s+", " ", c)
         if not isinstance(c, tree.Node) or self.skipped(c):
             return ""
-        text = self.inline(c)
+        text = yield self.inline(c)
         if c.tag in self.o.custom_handlers:
             return self.o.custom_handlers[c.tag].format(text=text, **{k.replace("-", "_"): v for k, v in c.attrs.items()})
         if c.tag == "br":
@@ -165,7 +169,7 @@ class _Writer:
             return f"![{alt}][{self.reference(self.images, src, alt, 'img')}]"
         return f"![{alt}]({src}){mark}"
 
-    def blocks(self, n: tree.Node) -> list[str]:
+    def blocks(self, n: tree.Node) -> Generator:
         """The blocks of a node's children; runs of inline children make one."""
         out: list[str] = []
         line: list[str] = []
@@ -180,71 +184,75 @@ class _Writer:
             if isinstance(c, tree.Node) and (c.tag in tree.CLOSES_P or c.tag in ("table", "li", "dt", "dd", "figcaption", "summary", "body", "main")):
                 end()
                 if not self.skipped(c):
-                    out += self.block(c)
+                    out += yield self.block(c)
             else:
-                line.append(self.piece(c))
+                line.append((yield self.piece(c)))
         end()
         return out
 
-    def block(self, n: tree.Node) -> list[str]:
+    def block(self, n: tree.Node) -> Generator:
         label = self.o.semantic_labels
         if n.tag in self.o.custom_handlers:
-            return [self.piece(n)]
+            return [(yield self.piece(n))]
         if n.tag in tree.HEADINGS:
-            level, text = int(n.tag[1]), self.inline(n)
+            level, text = int(n.tag[1]), (yield self.inline(n))
             if not text:
                 return []
             mark = ("[TITLE] " if level == 1 else "[SECTION] ") if label else ""
             tail = f" {{#{slug(text)}}}" if self.o.heading_ids else ""
             return [f"{'#' * min(level, self.o.max_heading_level)} {mark}{text}{tail}"]
         if n.tag == "p":
-            text = self.inline(n)
+            text = yield self.inline(n)
             return [text] if text else []
         if n.tag == "hr":
             return ["[DIVIDER]\n\n---" if label else "---"]
         if n.tag in ("ul", "ol", "menu"):
-            text = "\n".join(self.items(n, 0))
+            text = "\n".join((yield self.items(n, 0)))
             mark = "[ORDERED_LIST]" if n.tag == "ol" else "[LIST]"
             return [f"{mark}\n\n{text}" if label else text] if text else []
         if n.tag == "dl":
-            lines = [f"[TERM] {self.inline(c)}" if c.tag == "dt" and label else self.inline(c) if c.tag == "dt" else f": {self.inline(c)}" for c in n.elements if c.tag in ("dt", "dd")]
+            lines = []
+            for c in n.elements:
+                if c.tag in ("dt", "dd"):
+                    lines.append((": " if c.tag == "dd" else "[TERM] " if label else "") + (yield self.inline(c)))
             return ["\n".join((["[DEFINITION_LIST]", ""] if label else []) + lines)] if lines else []
         if n.tag == "pre":
             code = n.find("code")
             names = [x.removeprefix("language-").removeprefix("lang-") for x in (code or n).classes if x.startswith(("language-", "lang-"))]
             return [f"```{names[0] if names else ''}\n{n.text().strip(chr(10))}\n```"]
         if n.tag == "blockquote":
-            inner = "\n\n".join(self.blocks(n))
+            inner = "\n\n".join((yield self.blocks(n)))
             quoted = "\n".join(f"> {x}" if x else ">" for x in inner.split("\n"))
             return [f"[QUOTE]\n\n{quoted}" if label else quoted] if inner else []
         if n.tag == "table":
-            return [t] if (t := self.table(n)) else []
+            return [t] if (t := (yield self.table(n))) else []
         if n.tag == "figure":
-            return (["[FIGURE]"] if label else []) + self.blocks(n)
+            return (["[FIGURE]"] if label else []) + (yield self.blocks(n))
         if n.tag == "figcaption":
-            return [f"[CAPTION] {self.inline(n)}" if label else self.inline(n)]
+            return [("[CAPTION] " if label else "") + (yield self.inline(n))]
         if n.tag == "summary":
-            return [f"**{self.inline(n)}**"]
+            return [f"**{(yield self.inline(n))}**"]
         if n.tag == "div" and not {"code", "highlight"}.isdisjoint(n.classes):
             return [f"```\n{n.text().strip()}\n```"]
         if n.tag == "div" and not {"quote", "blockquote"}.isdisjoint(n.classes):
-            return [f"> {self.inline(n)}"] if self.inline(n) else []
-        return self.blocks(n)
+            text = yield self.inline(n)
+            return [f"> {text}"] if text else []
+        return (yield self.blocks(n))
 
-    def items(self, n: tree.Node, depth: int) -> list[str]:
+    def items(self, n: tree.Node, depth: int) -> Generator:
         out = []
         first = int(n.attrs["start"]) if re.fullmatch(r"-?\d+", n.attrs.get("start", "")) else 1
         for k, li in enumerate((c for c in n.elements if c.tag == "li"), first):
             own = tree.Node("li")
             own.children = [c for c in li.children if not (isinstance(c, tree.Node) and c.tag in ("ul", "ol", "menu"))]
             mark = f"{k}." if n.tag == "ol" else "-"
-            out.append(f"{'  ' * depth}{mark} {self.inline(own)}")
+            out.append(f"{'  ' * depth}{mark} {(yield self.inline(own))}")
             for c in li.elements:
                 if c.tag in ("ul", "ol", "menu"):
-                    out += self.items(c, depth + 1)
+                    out += yield self.items(c, depth + 1)
         return out
 
-    def table(self, n: tree.Node) -> str:
+    def table(self, n: tree.Node) -> Generator:
         rows, align, head = [], {}, None
         for tr in (x for x in n.walk() if x.tag == "tr"):
             cells = [c for c in tr.elements if c.tag in ("td", "th")]
@@ -256,7 +264,10 @@ class _Writer:
                     align.setdefault(k, found)
             if head is None and (tr.parent.tag == "thead" or all(c.tag == "th" for c in cells)):
                 head = len(rows)
-            rows.append([self.inline(c).replace("|", "\\|") for c in cells])
+            row = []
+            for c in cells:
+                row.append((yield self.inline(c)).replace("|", "\\|"))
+            rows.append(row)
         if not rows:
             return ""
         rows.insert(0, rows.pop(head or 0))
@@ -266,7 +277,8 @@ class _Writer:
         line = lambda r: "| " + " | ".join(x + " " * (size[k] - len(x.encode())) for k, x in enumerate(r)) + " |"
         rule = [{"left": ":" + "-" * (s - 1), "right": "-" * (s - 1) + ":", "center": ":" + "-" * (s - 2) + ":"}.get(align.get(k), "-" * s) for k, s in enumerate(size)]
         caption = n.find("caption")
-        lead = f"**{self.inline(caption)}**\n\n" if caption is not None and self.inline(caption) else ""
+        named = "" if caption is None else (yield self.inline(caption))
+        lead = f"**{named}**\n\n" if named else ""
         return lead + "\n".join([line(rows[0]), line(rule), *map(line, rows[1:])])
 
 
@@ -305,7 +317,7 @@ def to_markdown(html: str, options: Options = Options()) -> str:
             scored = [(len(n.text().encode()) * (1 + sum(x.tag == "p" for x in n.walk())), n) for n in body.walk() if n.tag in ("p", "article", "section")]
             node = max(scored, key=lambda x: x[0], default=(0, body))[1]
     writer = _Writer(options)
-    blocks = writer.block(node) if node.tag in tree.CLOSES_P else writer.blocks(node)
+    blocks = tree.unrolled(writer.block(node) if node.tag in tree.CLOSES_P else writer.blocks(node))
     for table, lead in ((writer.links, ""), (writer.images, "")):
         if table:
             blocks.append("\n".join(f"[{name}]: {lead}{url}" for url, name in sorted(table.items(), key=lambda x: x[1])))

@@ -38,15 +38,17 @@ TEXT_BLOCKS = ("p", "ul", "ol", "blockquote", "pre")
 def simplified(html: str) -> str:
     """body without what carries no content; attributes only where they help."""
 
-    def render(node: tree.Node) -> str:
+    def render(node: tree.Node):
         if node.tag in DROPPED or node.tag == "link" and node.attrs.get("rel") == "stylesheet":
             return ""
         kept = KEPT_ATTRIBUTES.get(node.tag, "").split()
         attrs = "".join(f' {k}="{v}"' for k, v in node.attrs.items() if k in kept or not DROPPED_ATTRIBUTES.match(k))
-        inner = "".join(render(x) if isinstance(x, tree.Node) else x.strip() if isinstance(x, str) else "" for x in node.children)
-        return f"<{node.tag}{attrs}>{inner}</{node.tag}>"
+        inner = []
+        for x in node.children:
+            inner.append((yield render(x)) if isinstance(x, tree.Node) else x.strip() if isinstance(x, str) else "")
+        return f"<{node.tag}{attrs}>{''.join(inner)}</{node.tag}>"
 
-    return re.sub(r"\s+", " ", render(tree.parse(html).find("body")))
+    return re.sub(r"\s+", " ", tree.unrolled(render(tree.parse(html).find("body"))))
 
 
 def _clip(text: str, most: int, keep: int) -> str:
@@ -58,7 +60,7 @@ def tree_text(html: str, max_depth: int | None = None) -> str:
     """The elements below body as indented lines with the beginning of their text."""
     out: list[str] = []
 
-    def visit(node: tree.Node, depth: int) -> None:
+    def visit(node: tree.Node, depth: int):
         if max_depth is not None and depth > max_depth or node.tag in ("script", "style"):
             return
         attrs = "".join(f' {k}="{v}"' for k, v in node.attrs.items() if not k.startswith("data-"))
@@ -68,12 +70,12 @@ def tree_text(html: str, max_depth: int | None = None) -> str:
             first = (_clip(text, 100, 97).splitlines() or [""])[0]
             out.append(f'{"  " * (depth + 1)}"{first}"')
         for k, child in enumerate(node.elements, 1):
-            visit(child, depth + 1)
+            yield visit(child, depth + 1)
             if k >= 10:
                 out.append(f"{'  ' * (depth + 1)}... ({len(node.children) - 10} more children)")
                 break
 
-    visit(tree.parse(html).find("body"), 0)
+    tree.unrolled(visit(tree.parse(html).find("body"), 0))
     return "".join(x + "\n" for x in out)
 
 
