@@ -27,7 +27,7 @@ def test_top_k_equals_brute_force(spark):
 
 def test_cells_prune_without_loss():
     rng = np.random.default_rng(2)
-    c = np.floor(rng.normal(size=(900, 32)) * 100).astype(np.int64)
+    c = np.floor(rng.normal(size=(900, 32)) * 100)
     c[::7] *= 3
     q = c[:40]
     for i, j, s in cell_top(np.arange(40), q, np.arange(900), c, 5):
@@ -37,6 +37,26 @@ def test_cells_prune_without_loss():
             assert [(-int(a), int(b)) for a, b in zip(s[i == row], j[i == row])] == order
 
 
+def test_large_components_touch_no_other_rows(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(160, 8))
+    for row, (at, x) in enumerate([(1, 1e14), (2, 1e30), (3, -1e300), (0, 1e30), (1, -1e14), (2, 3e7), (4, 1e5), (1, 1.7e308)]):
+        v[[3, 50, 51, 52, 60, 61, 70, 100][row], at] = x
+    v[0, 3] = 0  # a query whose other scores must stay as they are
+    v[62], v[63] = v[61], v[50]
+    schema = "vec_id long, embedding array<double>"
+    got = top_k(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], schema), F.col("vec_id") % 50 == 0).collect()
+    whole = lambda x: int(np.floor(256 * x)) if abs(x) < 1e300 else int(x) * 256
+    held = [[max(-(2**500), min(2**500, whole(x))) for x in row] for row in v.tolist()]
+    limit = 2**63 - 1
+    want = []
+    for i in range(0, 160, 50):
+        scores = [(-max(-limit, min(limit, sum(a * b for a, b in zip(held[i], held[j], strict=True)))), j) for j in range(160) if j != i]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(sorted(scores)[:5])]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+    assert any(s == limit for *_, s in want) and any(0 < s < limit for *_, s in want)
+
+
 def test_top_k_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert top_k(empty, F.col("vec_id") % 50 == 0).count() == 0
