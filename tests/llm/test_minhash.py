@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from weftline.llm import minhash
 from weftline.llm.minhash import drop_duplicates, near_duplicates
 
 SCHEMA = "doc_id long, text string, source string"
@@ -54,6 +57,41 @@ def test_equals_brute_force(spark):
         assert result(spark, rows, width=width) == brute(rows, width)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_groups_of_many_blocks(spark, monkeypatch, seed):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(120):
+        text = list(base)
+        for at in rng.sample(range(60), (1, 3, 5)[k % 3]):
+            text[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(text), "s"))
+    assert result(spark, rows, width=2) == brute(rows, 2)
+
+
+def test_strays_of_a_large_group_meet_all_of_it_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 50)
+    seen = spark.sparkContext.accumulator(0)
+    base = [f"b{k}" for k in range(40)]
+    texts = {k: " ".join([*base, f"x{k}"]) for k in range(2000)} | {5000: " ".join([*base[:39], "y", "z"]), 5001: "q r s"}
+    members = spark.createDataFrame([(1, i, 1 if i < 5000 else i, 41) for i in texts], "g long, id long, comp long, size long")
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    shipped = spark.createDataFrame([(i, t.encode()) for i, t in texts.items()], "id long, text binary")
+    real = minhash.DataFrame.mapInArrow
+    monkeypatch.setattr(minhash.DataFrame, "mapInArrow", lambda df, run, schema: real(df, lambda it: run(count(it)), schema))
+    found = minhash._search_groups(members, shipped, 2, 80).collect()
+    assert {x for r in found for x in (r.src, r.dst)} >= {5000, *range(2000)}
+    assert not any(5001 in r for r in found)
+    assert seen.value <= 2 * len(texts)
+
+
 def test_template_with_a_hub(spark):
     # All share a passage, few pairs reach the threshold: stars alone miss some.
     rng = random.Random(3)

@@ -175,14 +175,23 @@ def _block_links(left: list, right: list | None, comp_l: np.ndarray, comp_r: np.
 def _search_groups(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """All links (src, dst) between members (g, id, comp, size) of one group
     that lie in different components, compared in blocks of about ``BLOCK``
-    documents and ``BLOCK_SHINGLES`` shingles."""
-    sizes = members.groupBy("g").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    documents and ``BLOCK_SHINGLES`` shingles.  The members of a large group's
+    largest component have blocks of their own, which meet those of the others
+    only: what few strays need grows with the group, not with its square."""
+    blocks_of = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    parts = members.groupBy("g", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    most = F.max(F.struct("n", "size", "comp"))
+    sizes = parts.groupBy("g").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), most.alias("most")).where(blocks_of(F.col("n"), F.col("size")) > 1)
     # Written first, so that Spark can split the join for a very large group.
-    sizes = materialise(sizes.where("nb > 1"), "minhash-sizes")
-    blocks = members.join(sizes, "g", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
-    blocks = blocks.withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    cells = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
+    sizes = materialise(sizes.select(
+        "g", F.col("most.comp").alias("major"), blocks_of(F.col("most.n"), F.col("most.size")).alias("nb_major"),
+        blocks_of(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("nb")), "minhash-sizes")
+    blocks = members.join(sizes, "g", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("nb_major", F.coalesce("nb_major", F.lit(0)))
+    major = F.coalesce(F.col("comp") == F.col("major"), F.lit(False))
+    block = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    blocks = blocks.withColumn("b", F.when(major, F.col("nb") + block(F.col("nb_major"))).otherwise(block(F.col("nb"))))
+    partners = F.when(major, F.col("nb")).otherwise(F.col("nb") + F.col("nb_major"))
+    cells = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), partners - 1))).select(
         F.xxhash64("g", F.least("b", "o"), F.greatest("b", "o")).alias("cell"), "g",
         F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "id", "comp",
     )
@@ -190,6 +199,8 @@ def _search_groups(members: DataFrame, texts: DataFrame, width: int, percent: in
 
     def pairs_of(key, rows, hashes):
         lo, hi = key[1], key[2]
+        if len({r[2] for r in rows}) == 1:
+            return []
         ids = [r[1] for r in rows]
         sets = [_set(r[3], width, hashes) for r in rows]
         comp = np.array([r[2] for r in rows], dtype=np.int64)
