@@ -526,8 +526,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for late in (False, True):
             own = known.where((F.col("y") == y) & (F.col("late") == late)).orderBy(order).limit(sample)
             chosen = own if chosen is None else chosen.unionByName(own)
-    # At most 4 * sample ids: small by construction.
-    rows = short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", "late").collect()
+    # At most 4 * sample ids: small by construction, as is what is collected: a
+    # repeated id brings the least of its texts.
+    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y", "late").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
     pick = lambda late: [(bytes(r.text), r.y) for r in rows if r.late == late]
     return train(pick(False), pick(True))
