@@ -8,8 +8,9 @@ the subtree that grew; a new shard in a region of its own takes rows from all
 others and only into itself.
 
 Slots number the rows of a shard without gaps.  They go through bins of the
-id's hash: counts of (shard, bin) give each bin's first slot, and only a bin is
-numbered as one group.
+hash of id and text checksum, so that an id of very many rows fills many bins:
+counts of (shard, bin) give each bin's first slot, and only a bin is numbered as
+one group.
 
 Cases: a null text has size 1 and the checksum of the empty string; a null id is
 hashed as the empty string and goes where its draws lead; repeated rows share a
@@ -60,10 +61,11 @@ def shard(docs: DataFrame, tree: dict = TREE, grown: dict = GROWN, bins: int = B
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for each row
     of ``docs(doc_id, text)``."""
     key, body = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))
+    slot = F.xxhash64(key, F.crc32(body.cast("binary")), F.lit("slot"))
     rows = docs.select(
         "doc_id", (F.octet_length(body) + F.lit(1)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
         descend(key, tree).alias("shard"), descend(key, grown).alias("grown_shard"),
-        F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(bins)).cast("int").alias("bin"),
+        F.pmod(slot, F.lit(bins)).cast("int").alias("bin"),
     )
     rows = materialise(rows, "shards")
     counts = rows.groupBy("shard", "bin").agg(F.count("*").alias("n"))
