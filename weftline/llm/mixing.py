@@ -16,7 +16,8 @@ Only DataFrame functions are used.  The running sums inside a source go through
 many small windows.
 
 Cases: a null or empty text has size 0 and is never taken; a null source is a
-source of its own, the last one; a null id is ordered as the empty string;
+source of its own, the last one; rows without id are ordered by their texts'
+checksums, so that many of them fill many bins;
 repeated rows are taken each for itself; an empty table gives an empty result;
 other columns pass through ``curriculum`` unchanged.
 """
@@ -45,7 +46,7 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", _key().alias("key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("turn"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("string"))).cast("binary")).alias("turn"),
     )
 
 
