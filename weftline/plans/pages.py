@@ -224,10 +224,12 @@ def context_clues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", F.md5(preprocess.add_context_clues("html").cast("binary")).alias("digest"))
 
 
-@query(f"SELECT page_id, {SPACES.format(UNESCAPE.format(_nest('html', [('(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>|(?s)<!--.*?-->', ' '), ('<[^>]+>', ' ')])))} AS text FROM pages")
+MARKS = "replace(replace({}, '&copy;', chr(169)), '&middot;', chr(183))"
+
+
+@query(f"SELECT page_id, {SPACES.format(UNESCAPE.format(MARKS.format(_nest('html', [('(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>|(?s)<!--.*?-->', ' '), ('<[^>]+>', ' ')]))))} AS text FROM pages")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = preprocess.html_to_text(pages(spark, sf_dir).withColumn("html", F.replace(F.replace("html", F.lit("&copy;"), F.lit("&amp;copy;")), F.lit("&middot;"), F.lit("&amp;middot;"))))
-    return found
+    return preprocess.html_to_text(pages(spark, sf_dir))
 
 
 @query()
