@@ -204,6 +204,27 @@ def test_toxicity_against_brute_force():
         assert model.score(text) == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
 
 
+def test_toxicity_of_many_texts_at_once(monkeypatch):
+    """Texts are compressed together, and none changes the score of another."""
+    docs, labels = labelled(700, 4)
+    rows = [(text.encode(), y) for (_, text, *_), (_, _, y) in zip(docs, labels)]
+    model = toxicity.train(rows[:500], rows[500:])
+    odd = [b"", b"  \t", b"one", b"one two", b"vermin \xe2", b"\x80\x80 scoundrel", b"\xc2", b"-- vermin --", b"x" * 70, b"grumblewick " * 20_000, b"\n"]
+    texts = [*(t for t, _ in rows[:200]), *odd, rows[0][0], *odd[::-1]]
+    alone = [model.score(t) for t in texts]
+    assert [model.gains(t).tolist() for t in texts] == [model._gains(*toxicity.windows([b"scoundrel", t, b"x"])[:2]).tolist()[1:-1] for t in texts]
+    monkeypatch.setattr(toxicity, "AT_ONCE", 1 << 30)
+    assert model.scores(texts) == alone and len(set(alone)) > 100
+    monkeypatch.setattr(toxicity, "AT_ONCE", 4096)
+    assert model.scores(iter(texts)) == alone and model.scores([]) == [] and toxicity.Model().scores([b"a", b""]) == [toxicity.Model().score(b"a")] * 2
+    calls, gains = [], model._gains
+    monkeypatch.setattr(toxicity, "AT_ONCE", 128 * 1024)
+    monkeypatch.setattr(model, "_gains", lambda *a: calls.append(1) or gains(*a))
+    few = texts[:200]
+    model.scores(few)
+    assert len(calls) <= 2 * (1 + sum(map(len, few)) // (64 * 1024))
+
+
 def test_toxic_terms_are_seen_wherever_they_stand():
     docs, labels = labelled(1500, 3)
     rows = [(text.encode(), y) for (_, text, *_), (_, _, y) in zip(docs, labels)]

@@ -68,6 +68,8 @@ INNER_GAINS = (4, 8, 13, 20)
 TOXIC_WEIGHT = 3.0
 #: Windows compressed at once, and words whose inner gains are remembered.
 CHUNK, WORD_CACHE = 20_000, 150_000
+#: Bytes of texts that are written and compressed at once.
+AT_ONCE = 128 * 1024
 PHRASES = 700
 
 #: Bytes that end a run: all ASCII but lower-case letters and digits.
@@ -157,11 +159,16 @@ def _breaks(flat: np.ndarray) -> np.ndarray:
 def wide(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The text as it is compressed, and where each of its words starts and ends
     in that."""
+    return _written(text)[:3]
+
+
+def _written(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``wide`` gives, and where each word starts in the text itself."""
     flat = np.frombuffer(text.lower(), dtype=np.uint8)
     space = (flat == 32) | (flat >= 9) & (flat <= 13)
     at = np.flatnonzero(~space)
     if not len(at):
-        return b"", at, at
+        return b"", at, at, at
     flat = flat[at]
     first = np.empty(len(at), dtype=bool)
     first[0] = True
@@ -193,20 +200,32 @@ def wide(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     out[gap] = (joint * np.uint32(0x2C1B3C6D)) & np.uint32(0xFFFFFF00) | np.uint32(32)
     out[gap + 1] = joint * np.uint32(0x297A2D39)
     begin = 4 * (words + 2 * np.arange(len(words)))
-    return out.astype("<u4").tobytes(), begin, begin + 4 * np.diff(np.append(words, len(at)))
+    return out.astype("<u4").tobytes(), begin, begin + 4 * np.diff(np.append(words, len(at))), at[words]
 
 
 _POWERS = np.cumprod(np.full(64, 0x01000193, dtype=np.uint32), dtype=np.uint32)
 
 
-def windows(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Offset and length of each window: ``WORDS`` words from every ``STEP``-th word
-    on, fewer at the text's end.  All neighbours share a window."""
-    first = np.arange(0, max(len(begin) - WORDS + STEP, min(1, len(begin))), STEP)
-    out = np.empty((len(first), 2), dtype=np.uint64)
+def windows(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The texts written wide one after another, offset and length of each window,
+    and which text it is of: ``WORDS`` words from every ``STEP``-th word of a text on,
+    fewer at its end.  All neighbours share a window, and no two texts do."""
+    content, begin, end, source = _written(_APART.join(texts))
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    starts = np.cumsum(sizes + len(_APART)) - sizes - len(_APART)
+    low, high = np.searchsorted(source, starts), np.searchsorted(source, starts + sizes)
+    counts = -(-np.maximum(high - low - WORDS + STEP, np.minimum(1, high - low)) // STEP)
+    of = np.repeat(np.arange(len(texts)), counts)
+    first = low[of] + STEP * (np.arange(len(of)) - (np.cumsum(counts) - counts)[of])
+    out = np.empty((len(of), 2), dtype=np.uint64)
     out[:, 0] = begin[first]
-    out[:, 1] = end[np.minimum(first + WORDS - 1, len(end) - 1)] - begin[first]
-    return out
+    out[:, 1] = end[np.minimum(first + WORDS, high[of]) - 1] - begin[first]
+    return content, out, of
+
+
+#: A word between two texts that are written at once; it ends all that reaches
+#: from byte to byte.
+_APART = b" -- "
 
 
 def inner_windows(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -437,16 +456,19 @@ class Model:
 
     def gains(self, text: bytes) -> np.ndarray:
         """The gain of each of the text's windows."""
-        content, begin, end = wide(text)
-        return self._gains(content, windows(begin, end))
+        return self._gains(*windows([text])[:2])
 
     def inner_gains(self, text: bytes) -> np.ndarray:
         """The largest gain of the inner windows of each distinct long word."""
-        runs = _runs(text)
-        new = [r for r in runs if r not in self._inner]
+        return self._inner_gains([_runs(text)])[0]
+
+    def _inner_gains(self, each: list[set[bytes]]) -> list[np.ndarray]:
+        """``inner_gains`` of the texts that have these long words."""
+        every = set().union(*each)
+        new = [r for r in every if r not in self._inner]
         if len(self._inner) + len(new) > WORD_CACHE:
             self._inner.clear()
-            new = list(runs)
+            new = list(every)
         for k in range(0, len(new), CHUNK):
             part = new[k : k + CHUNK]
             content, where, of = inner_windows(part)
@@ -454,19 +476,47 @@ class Model:
             if len(of):
                 np.maximum.at(best, of, self._gains(content, where))
             self._inner.update(zip(part, best.tolist(), strict=True))
-        return np.fromiter(map(self._inner.__getitem__, runs), dtype=np.int64, count=len(runs))
+        return [np.fromiter(map(self._inner.__getitem__, runs), dtype=np.int64, count=len(runs)) for runs in each]
 
-    def features(self, text: bytes) -> list[float]:
-        """How many windows and long words reach each gain, and how many windows
-        there are."""
+    def features(self, texts: Iterable[bytes]) -> list[list[float]]:
+        """For each text how many windows and long words reach each gain, and how
+        many windows there are."""
         if not self.toxic:
-            return [0.0] * len(self.weights)
-        gains, inner = self.gains(text), self.inner_gains(text)
-        return [*(log1p(int((gains >= g).sum())) for g in GAINS), *(log1p(int((inner >= g).sum())) for g in INNER_GAINS), log1p(len(gains)) / 10]
+            return [[0.0] * len(self.weights) for _ in texts]
+        out: list[list[float]] = []
+        for part in _at_once(texts):
+            content, where, of = windows(part)
+            gains, inner = self._gains(content, where), self._inner_gains([_runs(t) for t in part])
+            number = lambda which: np.bincount(which, minlength=len(part)).tolist()
+            word_of = np.repeat(np.arange(len(part)), [len(x) for x in inner])
+            inner = np.concatenate(inner)
+            counts = [*(number(of[gains >= g]) for g in GAINS), *(number(word_of[inner >= g]) for g in INNER_GAINS)]
+            out.extend([*map(log1p, own), log1p(n) / 10] for *own, n in zip(*counts, number(of), strict=True))
+        return out
+
+    def scores(self, texts: Iterable[bytes]) -> list[float]:
+        """The score of each text, which depends on no other."""
+        out = []
+        for own in self.features(texts):
+            z = self.bias + sum(w * x for w, x in zip(self.weights, own, strict=True))
+            out.append(1 / (1 + exp(-max(-30.0, min(30.0, z)))))
+        return out
 
     def score(self, text: bytes) -> float:
-        z = self.bias + sum(w * x for w, x in zip(self.weights, self.features(text), strict=True))
-        return 1 / (1 + exp(-max(-30.0, min(30.0, z))))
+        return self.scores([text])[0]
+
+
+def _at_once(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """The texts in parts of some ``AT_ONCE`` bytes, or of one text."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > AT_ONCE:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 50) -> tuple[list[float], float]:
@@ -502,7 +552,7 @@ def train(dictionary: list[tuple[bytes, int]], calibration: list[tuple[bytes, in
     model.common, model.toxic = _trained(usual, COMMON_BYTES), _trained(telling, OWN_BYTES)
     model.ordinary = _trained(usual[: len(toxic)], len(model.toxic))
     calibration = calibration or dictionary
-    x = np.array([model.features(t) for t, _ in calibration])
+    x = np.array(model.features(t for t, _ in calibration))
     model.weights, model.bias = _logistic(x, np.array([y for _, y in calibration], dtype=np.float64))
     return model
 
@@ -541,7 +591,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            scores = [own.score(t.as_py() or b"") for t in batch.column(len(keep))]
+            scores = own.scores(t.as_py() or b"" for t in batch.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
     rows = spread(docs.select(*keep, F.col("text").cast("binary").alias("text")))
@@ -557,6 +607,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([own.score((t.as_py() or "").encode()) < threshold for t in batch.column(at)], pa.bool_()))
+            scores = own.scores((t.as_py() or "").encode() for t in batch.column(at))
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
