@@ -121,3 +121,23 @@ def test_drop_keeps_one_of_each_group(spark):
     left = drop_duplicates(docs)
     assert left.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 3]
+
+
+def test_stars_need_no_round_and_components_are_exact(spark):
+    from weftline.llm._shared import connected_components
+
+    schema = "src long, dst long"
+    stars = [(5, 1), (1, 9), (3, 2), (4, 2), (7, 7)]
+    got = {tuple(r) for r in connected_components(spark.createDataFrame(stars, schema), max_rounds=1).collect()}
+    assert got == {(5, 1), (9, 1), (1, 1), (3, 2), (4, 2), (2, 2)}
+    assert not connected_components(spark.createDataFrame([], schema), max_rounds=1).collect()
+
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + stars
+    parent = {x: x for pair in edges for x in pair}
+    for _ in parent:
+        for a, b in edges:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    named = {x for a, b in edges if a != b for x in (a, b)}
+    rows = connected_components(spark.createDataFrame(edges, schema)).collect()
+    assert len(rows) == len(named) and {r.node: r.component for r in rows} == {x: parent[x] for x in named}

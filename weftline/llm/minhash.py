@@ -291,7 +291,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, collecti
         F.col("lead").alias("g"), F.col("rep").alias("id"), "comp", "size")
     extra = materialise(_search_groups(members, texts, width, percent), "minhash-extra")
 
-    joined = connected_components(links.unionByName(extra))
+    # The stars found stand for their links; without extra ones they are the result.
+    joined = connected_components(found.withColumnsRenamed({"node": "src", "component": "dst"}).unionByName(extra))
     labels = reps.select("p0", "p1", "n_shingles", "rep").join(
         joined.withColumnsRenamed({"node": "rep", "component": "c"}), "rep", "left"
     ).select("p0", "p1", "n_shingles", F.coalesce("c", "rep").alias("component_id"))
